@@ -18,9 +18,13 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The characters counted as surrounding blanks (ASCII whitespace).
+BLANKS = " \t\n\r\x0b\x0c"
+
+
 def norm_text(col: Column | str) -> Column:
     """Null stays null, anything else becomes text without surrounding blanks."""
-    return F.regexp_replace(_c(col).cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(_c(col).cast("string"), F.lit(BLANKS))
 
 
 def norm_enum(col: Column | str, domain: Sequence[str]) -> Column:

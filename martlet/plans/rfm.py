@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from martlet.functions.scalar import exact_avg_round
 from martlet.operators.ranking import CONF_ROWS_PER_BUCKET, DEFAULT_ROWS_PER_BUCKET, \
     distributed_ntile
-from martlet.session import ensure_checkpoint_dir
+from martlet.session import materialize
 from martlet.sources.mart import Mart
 
 
@@ -57,20 +57,18 @@ def rfm_scores(m: Mart, as_of: str | _dt.date | None = None,
     """Scores and label per customer, money kept exact (DECIMAL) in ``monetary``.
 
     ``as_of`` stands for the current date (default: today).  The metrics are
-    counted once; above one bucket's worth of customers they are checkpointed
-    to the session's checkpoint folder, so the three scorings read one stored
-    copy and a lost executor cannot make them disagree.
+    computed once and written as a table in the session's checkpoint folder:
+    the count, the three scorings and the result all read that stored copy,
+    the fact is aggregated once, and a lost executor cannot make them disagree.
     """
     today = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
     cm = customer_metrics(m).withColumn(
         "recency_days", F.datediff(today, F.col("last_order_date")).cast("int"))
-    n = cm.count()
     spark = cm.sparkSession
+    cm = materialize(cm, "customer_metrics")
+    n = cm.count()
     per_bucket = rows_per_bucket or int(spark.conf.get(CONF_ROWS_PER_BUCKET,
                                                        str(DEFAULT_ROWS_PER_BUCKET)))
-    if n > per_bucket:
-        ensure_checkpoint_dir(spark)
-        cm = cm.checkpoint(eager=True)
     scored = distributed_ntile(cm.withColumn("_neg_recency", -F.col("recency_days")), 5,
                                ["_neg_recency", "customer_id"], "r_score", n=n,
                                rows_per_bucket=per_bucket)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours gets.  AQE re-plans joins at runtime from
 # measured shuffle sizes (the size check behind every dimension broadcast),
@@ -15,6 +16,10 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # Plan-time estimates come from file sizes and can make a small fact look
+    # broadcastable; keep the static threshold low and let AQE broadcast from
+    # measured shuffle sizes instead.
+    "spark.sql.autoBroadcastJoinThreshold": str(2 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -60,3 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="martlet-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df: DataFrame, label: str, row_group_bytes: int = 16 * 1024 * 1024) -> DataFrame:
+    """Write ``df`` as a parquet table under the session's checkpoint folder and
+    return a frame reading it back: lineage is cut, the stored copy survives
+    executor loss, and every later job reads the same rows.  Row groups are
+    kept moderate so the copy splits into several read tasks."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/martlet-tables/{label}-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", row_group_bytes).parquet(path)
+    return df.sparkSession.read.parquet(path)
