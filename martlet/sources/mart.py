@@ -108,23 +108,26 @@ def _build_tpch_mart(spark: SparkSession, sf_dir: str) -> Mart:
 
     price = (part.groupBy(F.col("p_partkey").alias("l_partkey"))
              .agg(F.max("p_retailprice").cast(MONEY).alias("_price")))
-    line_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    # Keys are renamed before the line-id window, so the window partitions by
+    # ``order_id`` itself and a filter on ``order_id`` passes through it down
+    # to the scan (the invoice numbers only its own order's lines).
     sales = F.col("l_extendedprice").cast(MONEY)
     discount = F.col("l_discount").cast(DISCOUNT)
     quantity = F.col("l_quantity").cast("int")
-    order_details = (lineitem.join(price, "l_partkey", "left")
-                     .select((F.col("l_orderkey") * 1000 + F.row_number().over(line_order))
-                             .alias("id"),
-                             F.col("l_orderkey").alias("order_id"),
-                             F.col("l_partkey").alias("product_id"),
-                             F.col("l_suppkey").alias("seller_id"),
-                             sales.alias("sales"),
-                             quantity.alias("quantity"),
-                             discount.alias("discount"),
-                             (sales * (F.lit(1) - discount) - quantity * F.col("_price"))
-                             .alias("profit")))
+    lines = (lineitem.join(price, "l_partkey", "left")
+             .select(F.col("l_orderkey").alias("order_id"),
+                     F.col("l_partkey").alias("product_id"),
+                     F.col("l_suppkey").alias("seller_id"),
+                     sales.alias("sales"), quantity.alias("quantity"), discount.alias("discount"),
+                     (sales * (F.lit(1) - discount) - quantity * F.col("_price")).alias("profit"),
+                     "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                     "l_returnflag", "l_linestatus", "l_shipdate"))
+    line_order = Window.partitionBy("order_id").orderBy(
+        "product_id", "seller_id", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    order_details = lines.select(
+        (F.col("order_id") * 1000 + F.row_number().over(line_order)).alias("id"),
+        "order_id", "product_id", "seller_id", "sales", "quantity", "discount", "profit")
 
     return Mart(categories=categories, subcategories=subcategories, sellers=sellers,
                 customers=customers, products=products, orders=orders,
