@@ -194,3 +194,23 @@ def yearly_sales(m: Mart, frame: DataFrame | None = None) -> DataFrame:
 
 def _as_money_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: money_text(c) for c in cols})
+
+
+def dashboard_reports(m: Mart) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Every dashboard report over one persisted dashboard frame (the frame is
+    built once and reused by all of them).  Returns the frame, so the caller
+    can ``unpersist()`` it when done, and the reports by name."""
+    frame = dashboard_frame(m).persist()
+    reports = {
+        "loss_products": loss_products(m, frame=frame),
+        "loss_summary_by_category": loss_summary_by_category(m, frame=frame),
+        "seller_stats_flat": seller_stats_flat(m, frame=frame),
+        "kpi_overview": kpi_overview(m, frame=frame),
+        "data_range": data_range(m, frame=frame),
+        "customer_spending": customer_spending(m, frame=frame),
+        "product_sales": product_sales(m, frame=frame),
+        "order_summary": order_summary(m, frame=frame),
+        "category_sales_margin": category_sales_margin(m, frame=frame),
+        "yearly_sales": yearly_sales(m, frame=frame),
+    }
+    return frame, reports

@@ -7,14 +7,17 @@ assignment run over the mart itself.  Money leaves as DOUBLE for comparison.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.operators import ingest as I
 from martlet.operators.sellers import assign_sellers, upsert_sellers
 from martlet.params import TPCH_REGIONS, TPCH_SEGMENTS, TPCH_SHIP_MODES
-from martlet.session import materialize
-from martlet.sources.flat import flat_from_mart
+from martlet.plans.frames import dashboard_frame
+from martlet.session import ensure_checkpoint_dir, materialize
+from martlet.sources.flat import flat_from_mart, read_dashboard_csv, sample_rows
 from martlet.sources.mart import Mart
 
 TPCH_DOMAINS = I.Domains(segments=TPCH_SEGMENTS, regions=TPCH_REGIONS,
@@ -75,3 +78,25 @@ def upsert_sellers_demo(m: Mart) -> DataFrame:
 
 def assigned_order_details(m: Mart) -> DataFrame:
     return _doubles(assign_sellers(m), ["sales", "discount", "profit"])
+
+
+SAMPLE_ROWS = 500
+
+
+def sheet_head_sample(m: Mart, n: int = SAMPLE_ROWS) -> DataFrame:
+    """The loader's sampling switch: the first ``n`` sheet rows in input order."""
+    return sample_rows(noisy_sheet(m), n)
+
+
+def csv_data_range(m: Mart) -> DataFrame:
+    """The dashboard frame exported as CSV, read back with inferred types and
+    lenient date parsing, then the data-range numbers over it."""
+    spark = m.orders.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/martlet-tables/dashboard-csv-{uuid.uuid4().hex}"
+    (dashboard_frame(m).drop("year", "month")
+     .write.option("header", True).csv(path))
+    frame = read_dashboard_csv(spark, path)
+    return frame.agg(F.count(F.lit(1)).alias("total_records"),
+                     F.min("year").cast("int").alias("min_year"),
+                     F.max("year").cast("int").alias("max_year"))
