@@ -24,15 +24,18 @@ def duckdb_connection(sf_dir: str):
     return con
 
 
+EXACT = False
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.12g}")
+        return v if EXACT else float(f"{v:.12g}")
     if isinstance(v, decimal.Decimal):
-        return float(f"{float(v):.12g}")
+        return float(v) if EXACT else float(f"{float(v):.12g}")
     if isinstance(v, _dt.datetime):
         return v.isoformat()
     if isinstance(v, _dt.date):

@@ -48,6 +48,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """An id for the running application (memo keys for per-session caches)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -55,15 +63,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     under a fresh scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if configured:
-        if not current:
-            spark.sparkContext.setCheckpointDir(configured)
+        if sc is not None and not current:
+            sc.setCheckpointDir(configured)
         return configured
     if current:
         return current
     path = tempfile.mkdtemp(prefix="martlet-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
+    else:
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 

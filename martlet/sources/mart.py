@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from martlet.operators.ranking import dense_rank_ids
 from martlet.schema import DISCOUNT, MONEY, RATING, TABLES
+from martlet.session import session_key
 
 
 @dataclass
@@ -52,7 +53,7 @@ def tpch_mart(spark: SparkSession, sf_dir: str) -> Mart:
     which Catalyst drops when no column of theirs is referenced; the line id
     window is dropped the same way.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (session_key(spark), sf_dir.rstrip("/"))
     if key not in _MARTS:
         _MARTS[key] = _build_tpch_mart(spark, sf_dir)
     return _MARTS[key]
@@ -142,7 +143,7 @@ _DIMS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def _surrogate_dims(spark: SparkSession, sf_dir: str, part: DataFrame) -> tuple[DataFrame, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (session_key(spark), sf_dir.rstrip("/"))
     if key in _DIMS:
         return _DIMS[key]
     categories = (dense_rank_ids(part.select(F.col("p_type").alias("category_name")).distinct(),
