@@ -3,7 +3,11 @@
 ``keep_first`` keeps, per key, the row that comes first in a given input
 order.  It is an aggregate (``min_by`` over a struct of the kept columns), so
 it combines partially on the map side: a key held by a third of all rows
-still ships one row per task, and no sort of the whole input is needed.
+still ships one row per task.  A struct buffer makes it a sort-based
+aggregate: each task sorts its own rows locally (spilling if needed) and only
+the per-task winners cross the shuffle, which costs less than the
+alternative of a hash ``min(row_id)`` followed by a join that reshuffles the
+whole input.
 """
 
 from __future__ import annotations

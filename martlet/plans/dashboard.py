@@ -155,10 +155,12 @@ def order_summary(m: Mart, top_n: int = 20, frame: DataFrame | None = None,
     """Per order: customer, date (as text), sales, profit, item count; newest first.
 
     Customer and date are attributes of the order, so each order carries one
-    value of each; ``max`` returns it (nulls skipped, like taking the first)."""
+    value of each: the customer name joins the group key (same groups, and the
+    aggregate stays a hash aggregate), the date is its ``max``."""
     f = dashboard_frame(m) if frame is None else frame
-    g = (_keys_present(f, ["order_id"]).groupBy("order_id")
-         .agg(F.max("customer_name").alias("Customer"), F.max("order_date").alias("_date"),
+    g = (_keys_present(f, ["order_id"])
+         .groupBy("order_id", F.col("customer_name").alias("Customer"))
+         .agg(F.max("order_date").alias("_date"),
               _money("sales").alias("Total Sales"), _money("profit").alias("Total Profit"),
               F.count("product_name").alias("Items Count")))
     top = (g.orderBy(F.col("_date").desc_nulls_last(), "order_id").limit(top_n)

@@ -72,3 +72,51 @@ def test_ytd_reads_the_fact_once(spark, sf_dir):
     plan = _plan(entry.queries()["ytd_comparison"](spark, sf_dir))
     scans = [s for s in plan.splitlines() if "FileScan parquet" in s and "lineitem" in s]
     assert len(scans) == 1
+
+
+def _children(node):
+    kids = node.children()
+    return [kids.apply(i) for i in range(kids.size())]
+
+
+def _walk(node):
+    yield node
+    for child in _children(node):
+        yield from _walk(child)
+
+
+def _physical(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    return plan
+
+
+def _reads_fact(node) -> bool:
+    return any(n.nodeName().startswith("Scan") and "lineitem" in n.simpleString(1000)
+               for n in _walk(node))
+
+
+@pytest.mark.parametrize("key", sorted(entry.queries()))
+def test_fact_rows_never_pass_one_partition(spark, sf_dir, key):
+    """A single-partition exchange may only carry aggregated rows, or input
+    that does not come from the fact table."""
+    plan = _physical(entry.queries()[key](spark, sf_dir))
+    for node in _walk(plan):
+        if (node.nodeName() == "Exchange"
+                and node.outputPartitioning().toString() == "SinglePartition"):
+            child = _children(node)[0]
+            assert "Aggregate" in child.nodeName() or not _reads_fact(child), key
+
+
+def test_detector_catches_a_global_window_over_the_fact(spark, sf_dir):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    bad = li.withColumn("rn", F.row_number().over(Window.orderBy("l_orderkey")))
+    hits = [n for n in _walk(_physical(bad))
+            if n.nodeName() == "Exchange"
+            and n.outputPartitioning().toString() == "SinglePartition"
+            and not ("Aggregate" in _children(n)[0].nodeName())
+            and _reads_fact(_children(n)[0])]
+    assert hits
