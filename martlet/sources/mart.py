@@ -12,6 +12,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlet.operators.ranking import dense_rank_ids
 from martlet.schema import DISCOUNT, MONEY, RATING, TABLES
@@ -41,6 +42,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored_date(df: DataFrame, col: str):
+    """The calendar date stored in a timestamp column, whatever the session
+    time zone: wall-clock timestamps (``timestamp_ntz``) cast directly; a
+    timestamp read as an instant takes its UTC date."""
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(col)) / 86400).cast("int"))
+    return F.col(col).cast("date")
+
+
 _MARTS: dict[tuple[str, str], Mart] = {}
 
 
@@ -98,10 +109,11 @@ def _build_tpch_mart(spark: SparkSession, sf_dir: str) -> Mart:
 
     lineitem = t("lineitem")
     last_ship = (lineitem.groupBy(F.col("l_orderkey").alias("order_id"))
-                 .agg(F.max("l_shipdate").cast("date").alias("ship_date")))
-    orders = (t("orders")
+                 .agg(F.max(stored_date(lineitem, "l_shipdate")).alias("ship_date")))
+    orders_raw = t("orders")
+    orders = (orders_raw
               .select(F.col("o_orderkey").alias("order_id"),
-                      F.col("o_orderdate").cast("date").alias("order_date"),
+                      stored_date(orders_raw, "o_orderdate").alias("order_date"),
                       F.col("o_orderpriority").alias("ship_mode"),
                       F.col("o_custkey").alias("customer_id"))
               .join(last_ship, "order_id", "left")
