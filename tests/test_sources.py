@@ -73,3 +73,22 @@ def test_streamed_sheet_equals_batch_load(spark, sf_dir):
     assert _same(streamed.customers, batch.customers)
     assert _same(streamed.order_details, batch.order_details)
     assert _same(streamed.rejects, batch.rejects)
+
+
+def test_bucketed_mart_joins_orders_without_shuffle(spark, sf_dir):
+    from martlet.sources.mart import read_mart_tables, write_mart_tables
+    m = tpch_mart(spark, sf_dir)
+    path = tempfile.mkdtemp(prefix="bucketed-")
+    write_mart_tables(m, path, "martlet_test_db", buckets=4)
+    stored = read_mart_tables(spark, "martlet_test_db")
+    for name in TABLES:
+        assert _same(m.table(name), stored.table(name)), name
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = stored.order_details.join(stored.orders, "order_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
