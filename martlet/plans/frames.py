@@ -50,8 +50,11 @@ def wide_join(m: Mart, details: DataFrame | None = None) -> DataFrame:
 def wide_fact(m: Mart) -> DataFrame:
     """The 24-column wide fact, numeric columns coerced to numbers, newest first."""
     coerced = {c: to_number(c) for c in ("sales", "discount", "profit", "seller_rating")}
+    # Newest first; the extra keys only break ties, and they let the range
+    # partitioning of the sort split one very large order across tasks.
     return (wide_join(m).select(*WIDE_COLUMNS).withColumns(coerced)
-            .orderBy(F.col("order_date").desc_nulls_first(), "order_id"))
+            .orderBy(F.col("order_date").desc_nulls_first(), "order_id", "product_id",
+                     "seller_id"))
 
 
 def dashboard_frame(m: Mart) -> DataFrame:
