@@ -8,13 +8,15 @@ as parquet, one folder per table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlet.operators.ranking import dense_rank_ids
+from martlet.operators.ranking import (CONF_ROWS_PER_BUCKET, DEFAULT_ROWS_PER_BUCKET, bucket_of,
+                                      dense_rank_ids, sample_cut_points)
 from martlet.schema import DISCOUNT, MONEY, RATING, TABLES
 from martlet.session import session_key
 
@@ -135,18 +137,52 @@ def _build_tpch_mart(spark: SparkSession, sf_dir: str) -> Mart:
                      (sales * (F.lit(1) - discount) - quantity * F.col("_price")).alias("profit"),
                      "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                      "l_returnflag", "l_linestatus", "l_shipdate"))
-    line_order = Window.partitionBy("order_id").orderBy(
-        "product_id", "seller_id", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    order_details = lines.select(
-        (F.col("order_id") * 1000 + F.row_number().over(line_order)).alias("id"),
-        "order_id", "product_id", "seller_id", "sales", "quantity", "discount", "profit")
+    order_details = _numbered_lines(lines).select(
+        "id", "order_id", "product_id", "seller_id", "sales", "quantity", "discount", "profit")
 
     return Mart(categories=categories, subcategories=subcategories, sellers=sellers,
                 customers=customers, products=products, orders=orders,
                 order_details=order_details)
 
 
+LINE_SORT = ["product_id", "seller_id", "l_linenumber", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+MAX_LINE_CHUNKS = 64
+
+
+def _numbered_lines(lines: DataFrame) -> DataFrame:
+    """Add ``id = order_id * 1000 + position of the line within its order``
+    (lines ordered by ``LINE_SORT``).
+
+    Up to ``rows_per_bucket`` lines in all, one window per order does it (so
+    no order can exceed that bound).  Beyond it, lines are also cut into
+    chunks by ranges of the sort key (literal cut points from a sample): each
+    (order, chunk) is numbered separately and shifted by the sizes of the
+    order's earlier chunks, so one order holding a third of all lines is
+    spread over many tasks.  Every window is partitioned by ``order_id`` (plus
+    the chunk), so a filter on the order still reaches the scan.
+    """
+    per_bucket = int(lines.sparkSession.conf.get(CONF_ROWS_PER_BUCKET,
+                                                 str(DEFAULT_ROWS_PER_BUCKET)))
+    n = lines.count()
+    chunks = min(MAX_LINE_CHUNKS, math.ceil(n / per_bucket)) if n else 1
+    if chunks <= 1:
+        w = Window.partitionBy("order_id").orderBy(*LINE_SORT)
+        return lines.withColumn("id", F.col("order_id") * 1000 + F.row_number().over(w))
+    cuts = sample_cut_points(lines, LINE_SORT, chunks, n)
+    keyed = lines.withColumn("_chunk", bucket_of(LINE_SORT, cuts))
+    earlier = Window.partitionBy("order_id").orderBy("_chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = (keyed.groupBy("order_id", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+               .drop("_n"))
+    within = Window.partitionBy("order_id", "_chunk").orderBy(*LINE_SORT)
+    return (keyed.withColumn("_rn", F.row_number().over(within))
+            .join(offsets, ["order_id", "_chunk"])
+            .withColumn("id", F.col("order_id") * 1000 + F.col("_offset") + F.col("_rn"))
+            .drop("_chunk", "_rn", "_offset"))
+
+
 # Surrogate-keyed dimensions per (application, folder).  They hold one row per
 # distinct product type / (type, brand) pair, so they stay small whatever the
 # fact size; they are numbered once per session and kept persisted (a lost
