@@ -215,6 +215,18 @@ def _surrogate_dims(spark: SparkSession, sf_dir: str, part: DataFrame) -> tuple[
     return categories, subcategories
 
 
+def register_views(mart: Mart, prefix: str = "") -> list[str]:
+    """Expose every table as a temporary view ``<prefix><table>`` so the mart
+    can be queried with ``spark.sql``; Catalyst plans SQL and DataFrame code
+    the same way.  Returns the view names."""
+    names = []
+    for name in TABLES:
+        view = f"{prefix}{name}"
+        mart.table(name).createOrReplaceTempView(view)
+        names.append(view)
+    return names
+
+
 def read_mart(spark: SparkSession, path: str) -> Mart:
     """A mart stored as parquet, one folder per table."""
     base = path.rstrip("/")

@@ -92,3 +92,21 @@ def test_bucketed_mart_joins_orders_without_shuffle(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_sql_over_registered_views_matches_report(spark, sf_dir):
+    from martlet.plans import reports as R
+    from martlet.sources.mart import register_views
+    m = tpch_mart(spark, sf_dir)
+    register_views(m, prefix="mv_")
+    via_sql = spark.sql("""
+        SELECT c.category_name AS category, COUNT(*) AS total_orders,
+               SUM(d.quantity) AS total_quantity,
+               CAST(SUM(d.sales) AS DOUBLE) AS total_sales,
+               CAST(SUM(d.profit) AS DOUBLE) AS total_profit,
+               CAST(SUM(d.sales) AS DOUBLE) / COUNT(d.sales) AS avg_sales
+        FROM mv_order_details d
+        JOIN mv_products p ON p.product_id = d.product_id
+        JOIN mv_categories c ON c.category_id = p.category_id
+        GROUP BY c.category_name""")
+    assert _same(via_sql, R.sales_by_category(m))
