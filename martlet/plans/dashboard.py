@@ -7,6 +7,13 @@ fact):
 * ``nlargest`` keeps ties in ascending group-key order, so every top-k breaks
   ties on the group keys;
 * ``.round(2)`` rounds half to even on the binary value.
+
+Plans never build the wide join for these reports: the dimensions a report
+does not read only filter lines (left semi joins on their keys), lines are
+summed per key of the dimension it groups by, and only those sums meet that
+dimension.  At scale the largest join then sees one row per product, order or
+seller instead of one per line.  ``dashboard_reports`` instead shares one
+persisted dashboard frame across all reports.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.scalar import half_even_round, money_text, safe_ratio
-from martlet.plans.frames import dashboard_frame
+from martlet.plans.frames import dashboard_frame, order_dim, product_dim
 from martlet.plans.reports import top_sellers
 from martlet.sources.mart import Mart
 
@@ -31,6 +38,11 @@ def _money(c: str) -> Column:
     return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
 
 
+def _lines(c: str = "_n") -> Column:
+    """Number of order lines behind the grouped rows."""
+    return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+
 def _keys_present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     cond = F.lit(True)
     for k in keys:
@@ -38,9 +50,83 @@ def _keys_present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.filter(cond)
 
 
+# --------------------------------------------------------------------------
+# Sources.  A report aggregates rows that carry the dashboard frame's column
+# names plus ``_n`` (order lines behind the row) and ``_named`` (lines with a
+# product name).  Given a persisted frame, each line is one row.  Otherwise the
+# lines that survive the 7-table inner join are found with semi-joins on the
+# dimensions the report does not read, summed per key of the one it groups by,
+# and only those sums meet that dimension: the wide join is never built.
+# --------------------------------------------------------------------------
+
+MEASURES = ("sales", "profit", "quantity")
+
+
+def _from_frame(frame: DataFrame) -> DataFrame:
+    return frame.withColumns({"_n": F.lit(1),
+                              "_named": F.col("product_name").isNotNull().cast("int")})
+
+
+def _surviving_lines(m: Mart, joined: set[str]) -> DataFrame:
+    """Lines kept by the wide inner join; dimensions not in ``joined`` are only
+    checked for a matching key (keys are unique, so this equals the join)."""
+    d = m.order_details.select("order_id", "product_id", "seller_id", *MEASURES)
+    if "order" not in joined:
+        d = d.join(order_dim(m).select("order_id"), "order_id", "left_semi")
+    if "product" not in joined:
+        d = d.join(product_dim(m).select("product_id"), "product_id", "left_semi")
+    if "seller" not in joined:
+        d = d.join(m.sellers.select("seller_id"), "seller_id", "left_semi")
+    return d
+
+
+def _sums(df: DataFrame, key: str, extra=()) -> DataFrame:
+    return df.groupBy(key).agg(*[F.sum(c).alias(c) for c in MEASURES],
+                               F.count(F.lit(1)).alias("_n"), *extra)
+
+
+def _by_product(m: Mart, line_filter: Column | None = None) -> DataFrame:
+    lines = _surviving_lines(m, {"product"})
+    if line_filter is not None:
+        lines = lines.filter(line_filter)
+    return _sums(lines, "product_id").join(
+        product_dim(m).select("product_id", "product_name", "category"), "product_id")
+
+
+def _by_order(m: Mart) -> DataFrame:
+    named = product_dim(m).select("product_id",
+                                  F.col("product_name").isNotNull().cast("int").alias("_pn"))
+    lines = _surviving_lines(m, {"order", "product"}).join(named, "product_id")
+    per = _sums(lines, "order_id", [F.sum("_pn").alias("_named")])
+    return (per.join(order_dim(m).select("order_id", "customer_name", "order_date"), "order_id")
+            .withColumns({"year": F.year("order_date"), "month": F.month("order_date")}))
+
+
+def _by_seller(m: Mart) -> DataFrame:
+    return _sums(_surviving_lines(m, {"seller"}), "seller_id").join(
+        m.sellers.select("seller_id", "seller_name", "seller_region", "seller_rating"),
+        "seller_id")
+
+
+def _source(m: Mart, frame: DataFrame | None, level: str,
+            line_filter: Column | None = None) -> DataFrame:
+    if frame is not None:
+        f = frame if line_filter is None else frame.filter(line_filter)
+        return _from_frame(f)
+    if level == "product":
+        return _by_product(m, line_filter)
+    if level == "order":
+        return _by_order(m)
+    return _by_seller(m)
+
+
+# --------------------------------------------------------------------------
+# Reports
+# --------------------------------------------------------------------------
+
 def _top_losses(m: Mart, top_n: int, frame: DataFrame | None) -> DataFrame:
-    f = dashboard_frame(m) if frame is None else frame
-    losses = _keys_present(f.filter(F.col("profit") < 0), ["product_name", "category"])
+    src = _source(m, frame, "product", F.col("profit") < 0)
+    losses = _keys_present(src, ["product_name", "category"])
     return (losses.groupBy("product_name", "category")
             .agg(_sum0("quantity").alias("quantity"), F.sum("profit").alias("profit"))
             .orderBy(F.col("quantity").desc(), "product_name", "category")
@@ -94,12 +180,10 @@ def seller_rating_profit(m: Mart, top_n: int = 10) -> DataFrame:
 
 def seller_stats_flat(m: Mart, top_n: int = 10, frame: DataFrame | None = None) -> DataFrame:
     """Seller stats from the flat frame: grouped by (name, region, rating)."""
-    f = dashboard_frame(m) if frame is None else frame
     keys = ["seller_name", "seller_region", "seller_rating"]
-    g = (_keys_present(f, keys).groupBy(*keys)
+    g = (_keys_present(_source(m, frame, "seller"), keys).groupBy(*keys)
          .agg(_money("sales").alias("Total Sales"), _money("profit").alias("Total Profit"),
-              F.count("order_id").alias("Total Orders"),
-              _sum0("quantity").alias("Total Quantity")))
+              _lines().alias("Total Orders"), _sum0("quantity").alias("Total Quantity")))
     return (g.orderBy(F.col("Total Sales").desc(), *keys).limit(top_n)
             .select(F.col("seller_name").alias("Seller"), F.col("seller_region").alias("Region"),
                     F.col("seller_rating").cast("double").alias("Rating"), "Total Sales",
@@ -108,27 +192,25 @@ def seller_stats_flat(m: Mart, top_n: int = 10, frame: DataFrame | None = None)
 
 def kpi_overview(m: Mart, frame: DataFrame | None = None) -> DataFrame:
     """Headline numbers: rows, sales, profit, distinct customer names."""
-    f = dashboard_frame(m) if frame is None else frame
-    return f.agg(F.count(F.lit(1)).alias("total_records"), _money("sales").alias("total_sales"),
-                 _money("profit").alias("total_profit"),
-                 F.count_distinct("customer_name").alias("total_customers"))
+    return _source(m, frame, "order").agg(
+        _lines().alias("total_records"), _money("sales").alias("total_sales"),
+        _money("profit").alias("total_profit"),
+        F.count_distinct("customer_name").alias("total_customers"))
 
 
 def data_range(m: Mart, frame: DataFrame | None = None) -> DataFrame:
     """Rows and the first and last order year."""
-    f = dashboard_frame(m) if frame is None else frame
-    return f.agg(F.count(F.lit(1)).alias("total_records"),
-                 F.min("year").cast("int").alias("min_year"),
-                 F.max("year").cast("int").alias("max_year"))
+    return _source(m, frame, "order").agg(
+        _lines().alias("total_records"), F.min("year").cast("int").alias("min_year"),
+        F.max("year").cast("int").alias("max_year"))
 
 
 def customer_spending(m: Mart, top_n: int = 20, frame: DataFrame | None = None,
                       as_text: bool = False) -> DataFrame:
     """Spending per customer name (two customers sharing a name merge); the
     line count is shown as orders.  Top ``top_n`` by sales."""
-    f = dashboard_frame(m) if frame is None else frame
-    g = (_keys_present(f, ["customer_name"]).groupBy("customer_name")
-         .agg(F.count("order_id").alias("Total Orders"), _money("sales").alias("Total Sales"),
+    g = (_keys_present(_source(m, frame, "order"), ["customer_name"]).groupBy("customer_name")
+         .agg(_lines().alias("Total Orders"), _money("sales").alias("Total Sales"),
               _money("profit").alias("Total Profit")))
     top = (g.orderBy(F.col("Total Sales").desc(), "customer_name").limit(top_n)
            .select(F.col("customer_name").alias("Customer Name"), "Total Orders", "Total Sales",
@@ -139,8 +221,8 @@ def customer_spending(m: Mart, top_n: int = 20, frame: DataFrame | None = None,
 def product_sales(m: Mart, top_n: int = 20, frame: DataFrame | None = None,
                   as_text: bool = False) -> DataFrame:
     """Quantity, sales and profit per (product name, category), top by quantity."""
-    f = dashboard_frame(m) if frame is None else frame
-    g = (_keys_present(f, ["product_name", "category"]).groupBy("product_name", "category")
+    src = _keys_present(_source(m, frame, "product"), ["product_name", "category"])
+    g = (src.groupBy("product_name", "category")
          .agg(_sum0("quantity").alias("Total Quantity Sold"), _money("sales").alias("Total Sales"),
               _money("profit").alias("Total Profit")))
     top = (g.orderBy(F.col("Total Quantity Sold").desc(), "product_name", "category")
@@ -157,12 +239,11 @@ def order_summary(m: Mart, top_n: int = 20, frame: DataFrame | None = None,
     Customer and date are attributes of the order, so each order carries one
     value of each: the customer name joins the group key (same groups, and the
     aggregate stays a hash aggregate), the date is its ``max``."""
-    f = dashboard_frame(m) if frame is None else frame
-    g = (_keys_present(f, ["order_id"])
+    g = (_keys_present(_source(m, frame, "order"), ["order_id"])
          .groupBy("order_id", F.col("customer_name").alias("Customer"))
          .agg(F.max("order_date").alias("_date"),
               _money("sales").alias("Total Sales"), _money("profit").alias("Total Profit"),
-              F.count("product_name").alias("Items Count")))
+              _lines("_named").alias("Items Count")))
     top = (g.orderBy(F.col("_date").desc_nulls_last(), "order_id").limit(top_n)
            .select(F.col("order_id").alias("Order ID"), "Customer",
                    F.date_format("_date", "yyyy-MM-dd").alias("Order Date"), "Total Sales",
@@ -174,10 +255,9 @@ def category_sales_margin(m: Mart, frame: DataFrame | None = None,
                           as_text: bool = False) -> DataFrame:
     """Sales, profit, quantity, lines and margin % (half-even, 2 places) per
     category.  A category with zero sales gets a NULL margin."""
-    f = dashboard_frame(m) if frame is None else frame
-    g = (_keys_present(f, ["category"]).groupBy("category")
+    g = (_keys_present(_source(m, frame, "product"), ["category"]).groupBy("category")
          .agg(_money("sales").alias("Total Sales"), _money("profit").alias("Total Profit"),
-              _sum0("quantity").alias("Total Quantity"), F.count("order_id").alias("Total Orders")))
+              _sum0("quantity").alias("Total Quantity"), _lines().alias("Total Orders")))
     margin = half_even_round(safe_ratio(F.col("Total Profit"), F.col("Total Sales"))
                              * F.lit(100.0), 2)
     out = (g.withColumn("Profit Margin %", margin)
@@ -189,11 +269,17 @@ def category_sales_margin(m: Mart, frame: DataFrame | None = None,
 
 def yearly_sales(m: Mart, frame: DataFrame | None = None) -> DataFrame:
     """Sales per order year."""
-    f = dashboard_frame(m) if frame is None else frame
-    return (_keys_present(f, ["year"]).groupBy(F.col("year").cast("int").alias("year"))
+    src = _keys_present(_source(m, frame, "order"), ["year"])
+    return (src.groupBy(F.col("year").cast("int").alias("year"))
             .agg(_money("sales").alias("sales")).orderBy("year"))
 
 
+def order_source(m: Mart, frame: DataFrame | None = None) -> DataFrame:
+    """Per-order sums with the order's date, year and month (or the frame's
+    lines), for reports grouped by attributes of the order."""
+    return _source(m, frame, "order")
+
+
 def _as_money_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: money_text(c) for c in cols})
 

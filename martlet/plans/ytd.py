@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.functions.scalar import ratio_or_zero
-from martlet.plans.frames import dashboard_frame
+from martlet.plans.dashboard import order_source
 from martlet.sources.mart import Mart
 
 
 def ytd_comparison(m: Mart, frame: DataFrame | None = None) -> DataFrame:
-    f = dashboard_frame(m) if frame is None else frame
+    f = order_source(m, frame)
     ym = (f.filter(F.col("year").isNotNull() & F.col("month").isNotNull())
           .groupBy("year", "month")
           .agg(F.sum("sales").alias("s"), F.sum("profit").alias("p")))
