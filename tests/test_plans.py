@@ -142,3 +142,9 @@ def test_chunked_line_numbering_matches_and_keeps_pushdown(spark, sf_dir):
     lines = [s for s in plan.splitlines() if "FileScan parquet" in s and "l_extendedprice" in s]
     assert lines and all("EqualTo(l_orderkey,3)" in s for s in lines)
     assert "_chunk" in _optimized(chunked.order_details)
+
+
+def test_date_range_reaches_the_orders_scan(spark, sf_dir):
+    plan = _plan(entry.queries()["filter_date_range"](spark, sf_dir))
+    scans = [s for s in plan.splitlines() if "FileScan parquet" in s and "o_orderdate" in s]
+    assert scans and all("GreaterThanOrEqual(o_orderdate" in s for s in scans)
