@@ -100,3 +100,21 @@ def csv_data_range(m: Mart) -> DataFrame:
     return frame.agg(F.count(F.lit(1)).alias("total_records"),
                      F.min("year").cast("int").alias("min_year"),
                      F.max("year").cast("int").alias("max_year"))
+
+
+def load_sheet(flat: DataFrame, sellers: DataFrame, path: str,
+               domains: I.Domains = I.Domains()) -> Mart:
+    """The whole load as one run: ingest the sheet, give every line a seller,
+    and write each table once (full refresh) plus the rejects; returns the
+    stored mart.  Seller ids are kept as text, like the sheet's other ids."""
+    from martlet.sources.mart import read_mart, write_mart
+
+    res = I.ingest(flat, domains)
+    text_sellers = sellers.withColumn("seller_id", F.col("seller_id").cast("string"))
+    mart = Mart(categories=res.categories, subcategories=res.subcategories,
+                sellers=text_sellers, customers=res.customers, products=res.products,
+                orders=res.orders, order_details=res.order_details)
+    mart = mart.replace(order_details=assign_sellers(mart))
+    write_mart(mart, path)
+    res.rejects.write.mode("overwrite").parquet(f"{path.rstrip('/')}/rejects")
+    return read_mart(flat.sparkSession, path)

@@ -78,3 +78,20 @@ def test_ingest_twice_is_ingest_once(spark, sf_dir):
                  "order_details"):
         a, b = stored[name], getattr(second, name)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+
+
+def test_load_sheet_writes_every_table_once(spark, sf_dir):
+    import tempfile
+
+    m = tpch_mart(spark, sf_dir)
+    sheet = L.noisy_sheet(m)
+    path = tempfile.mkdtemp(prefix="load-")
+    stored = L.load_sheet(sheet, m.sellers, path, L.TPCH_DOMAINS)
+    assert stored.order_details.count() == L.load_from_sheet(m, "order_details").count()
+    assert stored.order_details.filter(F.col("seller_id").isNull()).count() == 0
+    region = (stored.orders.join(stored.customers, "customer_id")
+              .select("order_id", F.col("region").alias("c_region")))
+    check = (stored.order_details.join(region, "order_id")
+             .join(stored.sellers.select("seller_id", "seller_region"), "seller_id"))
+    assert check.filter(~F.col("seller_region").eqNullSafe(F.col("c_region"))).count() == 0
+    assert spark.read.parquet(f"{path}/rejects").count() > 0
