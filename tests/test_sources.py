@@ -3,7 +3,6 @@ and the streamed sheet store."""
 
 import tempfile
 
-from pyspark.sql import functions as F
 
 from martlet.operators import ingest as I
 from martlet.plans import dashboard as Dsh
