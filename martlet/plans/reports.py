@@ -244,7 +244,12 @@ INVOICE_COLUMNS = [
 def order_invoice(m: Mart, order_id) -> DataFrame:
     """Every line of one order with all its attributes, by line id.  The order
     filter is bound as a literal and reaches both the order and the line scans."""
-    d = m.order_details.filter(F.col("order_id") == F.lit(order_id))
+    # The order table is filtered too (the lines already are): filter
+    # inference runs once, so without it the order's ship-date aggregate would
+    # not learn the key and would aggregate every line of the fact.
+    one = F.col("order_id") == F.lit(order_id)
+    m = m.replace(orders=m.orders.filter(one))
+    d = m.order_details.filter(one)
     return (wide_join(m, d)
             .select("id", *[c for c in INVOICE_COLUMNS if c not in ("category_name",
                                                                       "subcategory_name")],
