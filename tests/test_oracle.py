@@ -4,8 +4,12 @@
 import pytest
 
 import __spark_entry__ as entry
+import martlet.checking as checking
 from martlet.checking import compare, duckdb_connection
 
+# Doubles must match bit for bit (the engines compute exact decimals, then cast).
+checking.EXACT = True
+
 ORACLE = entry.oracle_sql()
 KEYS = sorted(entry.queries())
 
