@@ -59,8 +59,9 @@ def session_key(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local runs and tests) do we set our own,
-    under a fresh scratch folder.
+    Only a session on a local master (one machine: tests, local runs) gets a
+    fresh scratch folder of our own when none is set; any other master must name
+    a folder that all its executors share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -74,11 +75,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    master = spark.conf.get("spark.master", "")
+    if sc is None or not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="martlet-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(path)
-    else:
-        spark.conf.set("spark.checkpoint.dir", path)
+    sc.setCheckpointDir(path)
     return path
 
 
