@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlet.session import ensure_checkpoint_dir
 
@@ -39,3 +41,25 @@ def count_chars(text: Column, chars: str) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string")) % folds
+
+
+def with_text_columns(docs: DataFrame, text: str, fields: list[tuple], make: Callable) -> DataFrame:
+    """``docs`` without its text, plus ``fields`` (name, Spark type) that ``make()(texts)``
+    computes batch by batch.  Other columns pass through as Arrow, nulls and all."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    others = [c for c in docs.columns if c != text]
+    source = docs.select(F.col(text).cast("string").alias("_whole_text"), *others)
+    schema = T.StructType([f for f in source.schema.fields if f.name != "_whole_text"]
+                          + [T.StructField(n, t) for n, t in fields])
+
+    def run(batches):
+        compute, kinds = make(), to_arrow_schema(schema)
+        for batch in batches:
+            new = compute(batch.column(0).to_pylist())
+            old = [batch.column(i) for i in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(
+                [*old, *(pa.array(v, type=kinds.field(n).type) for (n, _), v in zip(fields, new))],
+                names=kinds.names)
+    return source.mapInArrow(run, schema)

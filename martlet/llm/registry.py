@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from .bloom_lm import lm_report
 from .chat_format import CHAT_ORACLE, chat_digest, with_injection
 from .common import table
 from .license_scan import license_report
 from .quality_rules import quality_report
+from .simhash import near_duplicate_report
+from .toxicity import toxicity_report
 
 
 def op2_chat_format(spark, sf_dir):
     return chat_digest(with_injection(table(spark, sf_dir, "conversations")))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark, sf_dir):
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -20,5 +27,14 @@ def op9_quality_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op7_license_scan, op9_quality_rules)}
+def op8_simhash(spark, sf_dir):
+    return near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+def op10_bloom_lm(spark, sf_dir):
+    return lm_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_chat_format, op3_toxicity, op7_license_scan, op8_simhash, op9_quality_rules, op10_bloom_lm)}
 ORACLE = {"op2_chat_format": CHAT_ORACLE}
