@@ -5,12 +5,20 @@ from __future__ import annotations
 from .bloom_lm import lm_report
 from .chat_format import CHAT_ORACLE, chat_digest, with_injection
 from .common import table
+from .decontaminate import leaks
 from .license_scan import license_report
+from .mixing import mixing_report
+from .pii_surrogates import pii_report
 from .quality_rules import quality_report
 from .simhash import near_duplicate_report
+from .suffix_dedup import repeat_report
 from .toxicity import toxicity_report
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark, sf_dir):
     return chat_digest(with_injection(table(spark, sf_dir, "conversations")))
 
@@ -19,6 +27,18 @@ def op3_toxicity(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark, sf_dir):
+    return mixing_report(table(spark, sf_dir, "documents"))
+
+
+def op6_pii_surrogates(spark, sf_dir):
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark, sf_dir):
     return license_report(table(spark, sf_dir, "documents"))
 
@@ -36,5 +56,6 @@ def op10_bloom_lm(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_format, op3_toxicity, op7_license_scan, op8_simhash, op9_quality_rules, op10_bloom_lm)}
+    op1_suffix_dedup, op2_chat_format, op3_toxicity, op4_decontamination, op5_mixing,
+    op6_pii_surrogates, op7_license_scan, op8_simhash, op9_quality_rules, op10_bloom_lm)}
 ORACLE = {"op2_chat_format": CHAT_ORACLE}
