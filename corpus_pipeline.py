@@ -3,21 +3,52 @@ data, mixing.  ``STAGES`` are applied in order, each stored before the next."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from martlet.llm.common import keep, table
+from martlet.llm.decontaminate import leaks
+from martlet.llm.mixing import mix
+from martlet.llm.pii_surrogates import pseudonymise
 from martlet.llm.quality_rules import judge
+from martlet.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark, docs, sf_dir):
-    """Drop the documents that the quality rules reject."""
+    """Drop the documents that the quality rules reject (operator 9)."""
     verdicts = judge(docs.select("doc_id", "text", "lang", "source"))
-    kept = verdicts.where("q_kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    rejected = verdicts.where(~F.col("q_kept")).select("doc_id")
+    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+
+
+def near_duplicate(spark, docs, sf_dir):
+    """Keep the document with the smallest id of each SimHash component (operator 8)."""
+    groups = near_duplicates(docs.select("doc_id", "text"))
+    copies = groups.where(F.col("doc_id") != F.col("sh_component")).select("doc_id")
+    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+
+
+def decontamination(spark, docs, sf_dir):
+    """Drop the documents that hold a benchmark item (operator 4)."""
+    found = leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def personal_data(spark, docs, sf_dir):
+    """Replace personal data by surrogates (operator 6)."""
+    return pseudonymise(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def mixing(spark, docs, sf_dir):
+    """Deal the documents out by source weights (operator 5)."""
+    return mix(docs.select(*COLUMNS))
 
 
-STAGES = [("quality", quality)]
-ORACLE_SQL = None  # covariance estimates, fingerprints and SVD are not SQL
+STAGES = [("quality", quality), ("near_duplicates", near_duplicate),
+          ("decontamination", decontamination), ("personal_data", personal_data),
+          ("mixing", mixing)]
+ORACLE_SQL = None  # covariance estimates, XXH64 fingerprints and the SVD are not SQL
 
 
 def run(spark, sf_dir):
