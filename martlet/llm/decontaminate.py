@@ -204,27 +204,38 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
-def candidates(ids: np.ndarray, model: dict, cosine: float) -> dict[int, tuple[float, int]]:
-    """item -> (best cosine, block of the best passage) for a text's term numbers."""
-    if not len(ids):
-        return {}
-    n = -(-len(ids) // BLOCK)
-    where = np.flatnonzero(ids >= 0)
-    common = np.bincount(where[model["idf2"][ids[where]] == 0] // BLOCK, minlength=n)
-    where = where[model["idf2"][ids[where]] > 0]
-    terms, block = ids[where], where // BLOCK
-    z = _sum_blocks(model["project"][terms], block, n)
-    length = np.bincount(block, model["idf2"][terms], n).astype(float)
-    length += (np.bincount(np.arange(len(ids)) // BLOCK, minlength=n)
-               - np.bincount(block, minlength=n) - common) * model["rarest2"]
-    if n > 1:
-        z, length = z[:-1] + z[1:], length[:-1] + length[1:]
-    z /= np.sqrt(np.maximum(length, 1e-9))[:, None]
-    found: dict[int, list] = {}
-    for lo in range(0, len(z), 4096):
-        near = z[lo:lo + 4096] @ model["latent"].T
-        for p, q in zip(*np.nonzero(near >= cosine)):
-            found.setdefault(int(model["owner"][q]), []).append((float(near[p, q]), int(p + lo)))
+def candidates(texts: list[np.ndarray], model: dict, cosine: float) -> list[dict[int, list]]:
+    """For each text's term numbers: item -> [(cosine, first block of the passage)]."""
+    found: list[dict[int, list]] = [{} for _ in texts]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    blocks = -(-sizes // BLOCK)
+    n = int(blocks.sum())
+    if not n:
+        return found
+    start = np.cumsum(blocks) - blocks
+    doc = np.repeat(np.arange(len(texts)), blocks)
+    ids = np.concatenate(texts)
+    block = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // BLOCK \
+        + np.repeat(start, sizes)
+    known = np.flatnonzero(ids >= 0)
+    squares = np.full(len(ids), model["rarest2"], dtype=np.float64)
+    squares[known] = model["idf2"][ids[known]]
+    length = np.bincount(block, squares, n)
+    used = known[squares[known] > 0]
+    z = _sum_blocks(model["project"][ids[used]], block[used], n)
+    # A passage is a block and its follower; a last block stands alone only as a first.
+    follows = np.append(doc[1:] == doc[:-1], False)
+    pair = np.flatnonzero(follows | (np.arange(n) == start[doc]))
+    joined, total = z[pair], length[pair]
+    more = follows[pair]
+    joined[more] += z[pair[more] + 1]
+    total[more] += length[pair[more] + 1]
+    joined /= np.sqrt(np.maximum(total, 1e-9))[:, None].astype(np.float32)
+    near = joined @ model["latent"].T
+    at, q = np.nonzero(near >= cosine)
+    for score, p, item in zip(near[at, q].tolist(), pair[at].tolist(), model["owner"][q].tolist()):
+        d = doc[p]
+        found[d].setdefault(item, []).append((score, p - int(start[d])))
     return found
 
 
@@ -232,13 +243,9 @@ def _search(shared, cosine: float, verbatim: float, paraphrase: float, need: flo
     def run(batches):
         model = shared.value
         ids_of = _Ids(model["vocabulary"])
-        for pdf in batches:
-            out = []
-            for row, text in zip(pdf["row"], pdf["text"]):
-                found = candidates(ids_of.of(text), model, cosine)
-                if not found:
-                    continue
-                words = norm_words(text)
+        def matched(rows, texts, terms):
+            for row, text, found in zip(rows, texts, candidates(terms, model, cosine)):
+                words = norm_words(text) if found else None
                 for item, places in found.items():
                     own, best = model["words"][item], None
                     regions, reach = [], len(own) + BLOCK
@@ -255,7 +262,19 @@ def _search(shared, cosine: float, verbatim: float, paraphrase: float, need: flo
                             answer = model["answers"][item]
                             best = (share, not answer or lcs(answer, part) >= need * len(answer))
                     if best[0] >= verbatim or (best[0] >= paraphrase and best[1]):
-                        out.append((row, model["ids"][item], max(places)[0], best[0], best[1]))
+                        yield row, model["ids"][item], max(places)[0], best[0], best[1]
+
+        for pdf in batches:
+            out, rows, texts, terms, held = [], [], [], [], 0
+            for row, text in zip(pdf["row"], pdf["text"]):
+                rows.append(row)
+                texts.append(text)
+                terms.append(ids_of.of(text))
+                held += len(terms[-1])
+                if held > 30_000:
+                    out += matched(rows, texts, terms)
+                    rows, texts, terms, held = [], [], [], 0
+            out += matched(rows, texts, terms)
             if out:
                 yield pd.DataFrame(out, columns=["row", "item", "cosine", "share", "answered"])
     return run
