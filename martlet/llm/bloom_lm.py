@@ -38,6 +38,7 @@ BITS_PER_KEY = 9
 MAX_BITS = 1 << 31    # 256 MB
 BUCKETS = 512
 HEAD = 1 << 16
+GROUP_CHARS = 4_000_000   # characters of texts that are scored together
 CHUNK = 4_000_000     # tokens a map task holds before it sends counts on
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,11 +81,12 @@ def _level(counts: np.ndarray) -> np.ndarray:
 _LEVEL_COUNT = np.array([0.0, 1.0, 2.0] + [BASE ** (q - 0.5) for q in range(3, 200)])
 
 
-def _probes(keys: np.ndarray, level: int, bits) -> list[np.ndarray]:
+def _probes(keys: np.ndarray, level: int, bits):
+    """The HASHES bit positions of (key, level), one array after the other."""
     a = _mix(keys + np.uint64(level * int(_GOLD) % (1 << 64)))
     step = _mix(a) | np.uint64(1)
-    return [(((a + np.uint64(k) * step) >> np.uint64(32)) * bits) >> np.uint64(32)
-            for k in range(HASHES)]
+    for k in range(HASHES):
+        yield (((a + np.uint64(k) * step) >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
 def _count(batches, shift: int):
@@ -236,8 +238,11 @@ def score(docs: DataFrame, model: dict, words: DataFrame, text: str = "text") ->
         head, head_c, lookup = m["head"], m["head_c"], m["filter"]
         bottom = N + V + 1
 
-        def one(text):
-            tokens = _tokens(text, cache)
+        def several(texts):
+            parts = [_tokens(t, cache) for t in texts]
+            sizes = np.array([len(p) for p in parts])
+            first = np.cumsum(sizes) - sizes
+            tokens = np.concatenate(parts)
             signed = tokens.view(np.int64)
             if len(head):
                 at = np.minimum(np.searchsorted(head, signed), len(head) - 1)
@@ -245,16 +250,35 @@ def score(docs: DataFrame, model: dict, words: DataFrame, text: str = "text") ->
                 c = np.where(in_head, head_c[at], 0)
             else:
                 in_head, c = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
-            tail, tail_n = np.unique(signed[~in_head], return_counts=True)
-            seen = _LEVEL_COUNT[lookup.levels(_bigrams(tokens, np.zeros(1, np.int64)))]
+            # Each distinct bigram of the group of texts is probed once.
+            keys, which = np.unique(_bigrams(tokens, first), return_inverse=True)
+            seen = _LEVEL_COUNT[lookup.levels(keys)][which]
             own = np.where(in_head, c, np.where(seen > 0, m["tail_c"], 0.0))
             # A text's first token has the text start as its history.
-            history = np.r_[m["texts"], np.where(in_head, c, m["tail_c"])[:-1]]
+            history = np.empty(len(tokens))
+            history[1:] = np.where(in_head, c, m["tail_c"])[:-1]
+            history[first] = m["texts"]
             p = (seen + MU * (own + 1) / bottom) / (np.maximum(history, seen) + MU)
-            return (len(tokens), int(in_head.sum()),
-                    float(np.log10((c[in_head] + 1) / bottom).sum()),
-                    float(np.log10(np.minimum(p, 1.0)).sum()), tail, tail_n)
-        return lambda texts: list(zip(*map(one, texts))) or [[] for _ in fields]
+            tails = [np.unique(signed[a:b][~in_head[a:b]], return_counts=True)
+                     for a, b in zip(first, first + sizes)]
+            return (sizes, np.add.reduceat(in_head.astype(np.int64), first),
+                    np.add.reduceat(np.where(in_head, np.log10((c + 1) / bottom), 0.0), first),
+                    np.add.reduceat(np.log10(np.minimum(p, 1.0)), first),
+                    [t for t, _ in tails], [n for _, n in tails])
+
+        def compute(texts):
+            out = [[] for _ in fields]
+            at = 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and chars < GROUP_CHARS:
+                    chars += len(texts[end] or "")
+                    end += 1
+                for column, values in zip(out, several(texts[at:end])):
+                    column.extend(values)
+                at = end
+            return out
+        return compute
     scored = keep(with_text_columns(source, text, fields, make), "lm-scored")
     bottom = float(N + V + 1)
     tail = scored.select("lm_row", F.explode(F.arrays_zip("lm_tail", "lm_tail_n")).alias("t")).select(
