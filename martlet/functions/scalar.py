@@ -78,10 +78,10 @@ def exact_avg_round(total: Column, count: Column, places: int) -> Column:
     """ROUND(total / count, places) with half-up rounding of the exact quotient.
 
     ``total`` is an exact value (integer or decimal sum); the quotient is taken
-    in decimal with at least 13 fractional digits, so a value that is not an
+    in decimal with at least 6 fractional digits, so a value that is not an
     exact tie can never be rounded the wrong way.  Result is DOUBLE.
     """
-    q = total.cast(T.DecimalType(20, 4)) / count.cast("int")
+    q = total.cast(T.DecimalType(28, 4)) / count.cast(T.DecimalType(19, 0))
     return F.round(q, places).cast("double")
 
 

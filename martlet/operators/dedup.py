@@ -32,13 +32,15 @@ def keep_first(df: DataFrame, key: str | Column, order: str, cols: Sequence[str]
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str,
                      order: str | None = None) -> DataFrame:
     """``INSERT ... ON CONFLICT (key) DO NOTHING``: the incoming batch is first
-    reduced to its first row per key, rows whose key already exists are
+    reduced to its first row per key (in ``order``, else in the order of its columns), rows whose key already exists are
     dropped, the rest are appended.  NULL keys are never inserted."""
     batch = incoming.filter(F.col(key).isNotNull())
     if order is not None:
         cols = [c for c in incoming.columns if c != key]
         batch = keep_first(batch, key, order, cols, key_name=key).select(*incoming.columns)
     else:
-        batch = batch.dropDuplicates([key])
+        cols = [c for c in incoming.columns if c != key]
+        batch = batch.groupBy(key).agg(F.min(F.struct(*cols)).alias("_first")).select(
+            key, *[F.col("_first")[c].alias(c) for c in cols])
     new_rows = batch.join(existing.select(key), key, "left_anti")
     return existing.unionByName(new_rows.select(*existing.columns))

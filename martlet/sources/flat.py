@@ -18,27 +18,50 @@ from martlet.schema import FLAT_COLUMNS, FLAT_SCHEMA
 from martlet.sources.mart import Mart
 
 
-def read_flat(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """A flat sheet with trimmed header names.  CSV is read with the sheet
-    schema (no inference); parquet keeps its own types."""
+def read_flat(spark: SparkSession, path: str, fmt: str = "csv",
+              row_id: str | None = "row_id") -> DataFrame:
+    """A flat sheet, its columns found by (trimmed) header name in any order.
+
+    CSV cells are read as text and cast to the sheet's types; a cell that is no
+    number becomes null, as the loader's coercion has it.  A sheet column that the
+    header lacks is an error.  ``row_id`` names the column with the input order;
+    None is for sheets without one, whose frame then has no ``row_id`` either.
+    """
     if fmt == "csv":
-        raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-               .schema(FLAT_SCHEMA).csv(path))
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    return raw.toDF(*[c.strip() for c in raw.columns])
+    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    if fmt != "csv":
+        return raw
+    types = {f.name: f.dataType for f in FLAT_SCHEMA.fields}
+    wanted = [c for c in types if c != "row_id"]
+    missing = [c for c in [*wanted, *([row_id] if row_id else [])] if c not in raw.columns]
+    if missing:
+        raise ValueError(f"the sheet lacks the columns {missing}")
+    cells = [F.col(f"`{c}`").try_cast(types[c]).alias(c) for c in wanted]
+    if row_id:
+        cells.insert(0, F.col(f"`{row_id}`").try_cast(types["row_id"]).alias("row_id"))
+    return raw.select(*cells)
+
+
+# Types of the dashboard export's columns; any other column stays text.
+DASHBOARD_TYPES = {"order_id": "long", "customer_id": "long", "product_id": "long",
+                   "seller_id": "long", "seller_rating": "double", "quantity": "int",
+                   "sales": "double", "discount": "double", "profit": "double"}
 
 
 def read_dashboard_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The dashboard's CSV export: header row, types inferred from a sample of
-    the file, both dates parsed leniently, ``year`` and ``month`` added."""
-    df = (spark.read.option("header", True).option("inferSchema", True)
-          .option("samplingRatio", 0.1).csv(path))
-    out = df
+    """The dashboard's CSV export: header row, fixed types by column name (nothing is
+    inferred, so no value depends on a sample), both dates parsed leniently, ``year``
+    and ``month`` added."""
+    df = spark.read.option("header", True).csv(path)
+    out = df.withColumns({c: F.col(c).try_cast(t) for c, t in DASHBOARD_TYPES.items()
+                          if c in df.columns})
     for c in ("order_date", "ship_date"):
         if c in df.columns:
-            out = out.withColumn(c, F.coalesce(F.try_to_timestamp(F.col(c).cast("string")),
-                                               F.col(c).cast("string").try_cast("timestamp")))
+            out = out.withColumn(c, F.coalesce(F.try_to_timestamp(F.col(c)),
+                                               F.col(c).try_cast("timestamp")))
     return out.withColumns({"year": F.year("order_date"), "month": F.month("order_date")})
 
 

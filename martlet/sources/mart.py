@@ -147,11 +147,21 @@ def _build_tpch_mart(spark: SparkSession, sf_dir: str) -> Mart:
 
 LINE_SORT = ["product_id", "seller_id", "l_linenumber", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-MAX_LINE_CHUNKS = 64
+
+
+# Room for the positions of one order inside its line ids.  Beyond it the id
+# computation fails (as does an order key over 9.2e9): ids never run into another order's.
+LINE_ID_STEP = 1_000_000_000
+
+
+def _line_id(position):
+    checked = F.when(position < LINE_ID_STEP, position).otherwise(
+        F.raise_error(F.lit("an order has too many lines for its line ids")).cast("long"))
+    return F.col("order_id") * LINE_ID_STEP + checked
 
 
 def _numbered_lines(lines: DataFrame) -> DataFrame:
-    """Add ``id = order_id * 1000 + position of the line within its order``
+    """Add ``id = order_id * LINE_ID_STEP + position of the line within its order``
     (lines ordered by ``LINE_SORT``).
 
     Up to ``rows_per_bucket`` lines in all, one window per order does it (so
@@ -165,12 +175,12 @@ def _numbered_lines(lines: DataFrame) -> DataFrame:
     per_bucket = int(lines.sparkSession.conf.get(CONF_ROWS_PER_BUCKET,
                                                  str(DEFAULT_ROWS_PER_BUCKET)))
     n = lines.count()
-    chunks = min(MAX_LINE_CHUNKS, math.ceil(n / per_bucket)) if n else 1
+    chunks = math.ceil(n / per_bucket)
     if chunks <= 1:
         w = Window.partitionBy("order_id").orderBy(*LINE_SORT)
-        return lines.withColumn("id", F.col("order_id") * 1000 + F.row_number().over(w))
-    cuts = sample_cut_points(lines, LINE_SORT, chunks, n)
-    keyed = lines.withColumn("_chunk", bucket_of(LINE_SORT, cuts))
+        return lines.withColumn("id", _line_id(F.row_number().over(w)))
+    cuts, size = sample_cut_points(lines, LINE_SORT, chunks, n)
+    keyed = lines.withColumn("_chunk", bucket_of(LINE_SORT, cuts, size))
     earlier = Window.partitionBy("order_id").orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (keyed.groupBy("order_id", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
@@ -179,7 +189,7 @@ def _numbered_lines(lines: DataFrame) -> DataFrame:
     within = Window.partitionBy("order_id", "_chunk").orderBy(*LINE_SORT)
     return (keyed.withColumn("_rn", F.row_number().over(within))
             .join(offsets, ["order_id", "_chunk"])
-            .withColumn("id", F.col("order_id") * 1000 + F.col("_offset") + F.col("_rn"))
+            .withColumn("id", _line_id(F.col("_offset") + F.col("_rn")))
             .drop("_chunk", "_rn", "_offset"))
 
 
