@@ -156,16 +156,19 @@ def _merge(batches, max_bits: int):
 class Filter:
     """The segments as one bit array, with lookups by repeated probes."""
 
-    def __init__(self, segments: list[tuple[int, int, bytes]], buckets: int):
+    def __init__(self, sizes: dict[int, int], segments, buckets: int):
         self.shift = np.uint64(64 - int(math.log2(buckets)))
         self.bits = np.zeros(buckets, dtype=np.uint64)
         self.start = np.zeros(buckets, dtype=np.uint64)
-        at, parts = 0, []
-        for bucket, bits, data in sorted(segments):
+        at = 0
+        for bucket, bits in sorted(sizes.items()):
             self.bits[bucket], self.start[bucket] = bits, at
             at += bits
-            parts.append(np.frombuffer(data, np.uint8))
-        self.data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        self.data = np.zeros(at // 8, np.uint8)
+        for bucket, data in segments:   # one at a time: the driver holds one copy
+            part = np.frombuffer(data, np.uint8)
+            lo = int(self.start[bucket]) // 8
+            self.data[lo:lo + len(part)] = part
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The largest q for which (key, 1) .. (key, q) all seem present."""
@@ -209,11 +212,12 @@ def train(texts: DataFrame, buckets: int = BUCKETS, max_bits: int = MAX_BITS,
     texts_n = words.where(F.col("key") == ends).agg(F.sum("c")).first()[0]
     total = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     top = words.orderBy(F.desc("c"), "key").limit(head).toPandas().sort_values("key")
-    segments = merged.where("kind = 'bi'").select("bucket", "bits", "keys").toPandas()
+    segments = merged.where("kind = 'bi'")
+    sizes = {r["bucket"]: r["bits"] for r in segments.select("bucket", "bits").collect()}
+    stream = ((r["bucket"], r["keys"]) for r in segments.select("bucket", "keys").toLocalIterator())
     model = {"N": int(total[0] or 0), "V": int(total[1]), "texts": float(texts_n or 0),
              "head": top["key"].to_numpy(np.int64), "head_c": top["c"].to_numpy(np.int64),
-             "filter": Filter([(int(b), int(n), bytes(k)) for b, n, k in
-                               segments.itertuples(index=False)], buckets)}
+             "filter": Filter(sizes, stream, buckets)}
     # Words outside the head, as the model's estimate for a rare history.
     rest = max(model["V"] - len(top), 0)
     model["tail_c"] = (model["N"] - int(top["c"].sum())) / rest if rest else 0.0
@@ -280,6 +284,7 @@ def score(docs: DataFrame, model: dict, words: DataFrame, text: str = "text") ->
             return out
         return compute
     scored = keep(with_text_columns(source, text, fields, make), "lm-scored")
+    shared.destroy()   # the scores are stored
     bottom = float(N + V + 1)
     tail = scored.select("lm_row", F.explode(F.arrays_zip("lm_tail", "lm_tail_n")).alias("t")).select(
         "lm_row", F.col("t.lm_tail").alias("key"), F.col("t.lm_tail_n").alias("n"))

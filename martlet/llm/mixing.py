@@ -15,7 +15,7 @@ task holds a source, and texts are never shuffled.
 Edge cases: a null source is a source of its own; null and empty texts weigh no tokens
 and follow their source's whole blocks (and its last one, if their key lies before the
 cut); equal rows share a key and are dealt together; an empty table, or one without
-tokens, gives no rows; input columns pass through.
+tokens, gives no rows; input columns pass through, but for those named as an output.
 """
 
 from __future__ import annotations
@@ -85,6 +85,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """``docs``, each row as often as its source's blocks hold it, plus ``mix_block``
     (1, 2, ...), ``mix_key`` (order inside the block) and ``mix_weight``."""
+    docs = docs.drop("mix_block", "mix_key", "mix_weight")
     place = lambda block, k=key, s=source: F.xxhash64(F.lit(seed), block, F.col(k), F.col(s))
     light = keep(docs.select(F.col(key).alias("k"), F.col(source).alias("src"), count_tokens(F.col(text)).alias("tokens")), "mix-rows")
     sources = keep(light.groupBy(F.col("src").alias("s")).agg(
@@ -120,14 +121,14 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         F.col("upto") > F.col("rest")).groupBy(F.col("s").alias("c_s")).agg(F.min("mix_key").alias("cut"))
     plan = keep(shares.join(cut, F.col("s").eqNullSafe(F.col("c_s")), "left").select(
         F.col("s").alias("mix_s"), F.col("whole").alias("mix_whole"), "mix_weight",
-        F.col("cut").alias("mix_cut")), "mix-plan")
+        F.col("cut").alias("mix_cut")), "mix-plan").select(F.struct("*").alias("_mix_plan"))
 
-    dealt = docs.join(plan, F.col(source).eqNullSafe(F.col("mix_s")))
-    partial = F.col("mix_cut").isNotNull() & (place(F.col("mix_whole") + 1) < F.col("mix_cut"))
-    copies = F.col("mix_whole") + F.when(partial, 1).otherwise(0)
+    whole, end = F.col("_mix_plan.mix_whole"), F.col("_mix_plan.mix_cut")
+    dealt = docs.join(plan, F.col(source).eqNullSafe(F.col("_mix_plan.mix_s")))
+    copies = whole + F.when(end.isNotNull() & (place(whole + 1) < end), 1).otherwise(0)
     dealt = dealt.withColumn("mix_block", F.explode(F.sequence(F.lit(0), copies))).where("mix_block > 0")
     return dealt.withColumn("mix_key", place(F.col("mix_block"))).select(
-        *docs.columns, "mix_block", "mix_key", "mix_weight")
+        *docs.columns, "mix_block", "mix_key", F.col("_mix_plan.mix_weight").alias("mix_weight"))
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
