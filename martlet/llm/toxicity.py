@@ -1,7 +1,7 @@
 """Toxicity: character n-gram linear classifier scaled by naive Bayes log-count
 ratios (operator 3).
 
-Features are the distinct character n-grams (orders 3 to 5, hashed) of the
+Features are the distinct character n-grams (orders 4 to 6, hashed) of the
 lower-cased text with whitespace runs as one space.  From labelled texts the
 log-count ratio r of each n-gram is taken; a logistic regression is fitted on
 presence vectors scaled by r; the score is its probability.  The fit uses at most
@@ -72,8 +72,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> dict:
     back[used] = np.arange(len(used))
     rows = [x[x >= 0] for x in (back[f] for f in rows)]
     sizes = np.array([len(f) for f in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int32)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     scale = r[used]
     x = scale[flat]
     w, b = np.zeros(len(used)), base["b"]
@@ -114,9 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"label": pdf["tx_label"],
-                                "found": [features(t) for t in pdf["tx_text"]]})
-    sample = texts.mapInPandas(run, "label int, found array<int>").toPandas()
-    return fit([np.asarray(f, dtype=np.int64) for f in sample["found"]],
+                                "found": [features(t).tobytes() for t in pdf["tx_text"]]})
+    # Feature numbers travel as bytes: four a feature on the driver, not a Python integer each.
+    sample = texts.mapInPandas(run, "label int, found binary").toArrow()
+    return fit([np.frombuffer(f.as_buffer(), dtype=np.int32) for f in sample["found"]],
                sample["label"].to_numpy())
 
 
