@@ -11,7 +11,9 @@ distributed job over the whole sheet:
   key, attributes normalised (text trimmed, enum text mapped onto its domain,
   dates parsed leniently);
 * order lines: every row, missing money and quantity as 0;
-* rejects: what the reference would skip or fail on, with a reason.
+* rejects: every customer, product, order and line that breaks a rule of its table
+  or points at a rejected parent, with the first reason; accepted and rejected
+  lines together are the whole sheet.
 
 Name lookups are equi-joins on the trimmed names; keep-first is a partial
 aggregate, never a sort of the sheet.
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.scalar import lenient_date, norm_enum, norm_text
@@ -63,23 +65,69 @@ def _first_per_key(flat: DataFrame, key_col: str, cols: Sequence[str]) -> DataFr
     return keep_first(keyed.filter(F.col("_key").isNotNull()), "_key", "row_id", cols)
 
 
-def ingest_customers(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
+# The rules of each table as (reason, condition that breaks it); the first broken rule
+# names the reject.
+def _customer_rules() -> list[tuple[str, Column]]:
+    return [("no customer name", F.col("customer_name").isNull())]
+
+
+def _product_rules() -> list[tuple[str, Column]]:
+    return [("unknown category", F.col("category_id").isNull()),
+            ("no subcategory", F.col("subcategory_id").isNull()),
+            ("no product name", F.col("product_name").isNull())]
+
+
+def _order_rules() -> list[tuple[str, Column]]:
+    return [("no order date", F.col("order_date").isNull()),
+            ("no customer id", F.col("customer_id").isNull()),
+            ("shipped before ordered", F.col("ship_date") < F.col("order_date"))]
+
+
+def _line_rules() -> list[tuple[str, Column]]:
+    # An amount is null only where the cell does not fit its type: missing ones are 0.
+    amounts = [F.col(c).isNull() for c in ("sales", "discount", "profit")]
+    return [("no order id", F.col("order_id").isNull()),
+            ("no product id", F.col("product_id").isNull()),
+            ("amount out of range", amounts[0] | amounts[1] | amounts[2]),
+            ("quantity not above 0", ~F.coalesce(F.col("quantity") > 0, F.lit(False))),
+            ("negative sales", F.col("sales") < 0),
+            ("discount outside 0 to 1", ~F.col("discount").between(0, 1))]
+
+
+def _judge(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    return df.withColumn("reason", F.coalesce(*[F.when(broken, F.lit(reason))
+                                                for reason, broken in rules]))
+
+
+def _accepted(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("reason").isNull())
+
+
+def _rejected(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("reason").isNotNull())
+
+
+def _judged_customers(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
     first = _first_per_key(flat, "Customer ID", ["Customer Name", "Segment", "Country", "City",
                                                  "State", "Postal Code", "Region"])
-    return first.select(
-        F.col("_key").alias("customer_id"),
+    return _judge(first.select(
+        "row_id", F.col("_key").alias("customer_id"),
         norm_text("Customer Name").alias("customer_name"),
         norm_enum("Segment", domains.segments).alias("segment"),
         norm_text("Country").alias("country"),
         norm_text("City").alias("city"),
         norm_text("State").alias("state"),
         norm_text("Postal Code").alias("postal_code"),
-        norm_enum("Region", domains.regions).alias("region"))
+        norm_enum("Region", domains.regions).alias("region")), _customer_rules())
+
+
+def ingest_customers(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
+    return _accepted(_judged_customers(flat, domains)).drop("row_id", "reason")
 
 
 def _resolved_products(flat: DataFrame, categories: DataFrame,
                        subcategories: DataFrame) -> DataFrame:
-    """First row per product with its category id and subcategory id.  The
+    """First row per product with its category id, subcategory id and reject reason.  The
     subcategory is matched on (category, name), else on the name alone (lowest
     id with that name)."""
     first = _first_per_key(flat, "Product ID", ["Category", "Sub-Category", "Product Name"])
@@ -89,7 +137,7 @@ def _resolved_products(flat: DataFrame, categories: DataFrame,
                                 F.col("subcategory_id").alias("_sub_pair"))
     by_name = (subcategories.groupBy("subcategory_name")
                .agg(F.min("subcategory_id").alias("_sub_name")))
-    return (first.select(F.col("_key").alias("product_id"), "row_id",
+    found = (first.select(F.col("_key").alias("product_id"), "row_id",
                          norm_text("Category").alias("category_name"),
                          norm_text("Sub-Category").alias("subcategory_name"),
                          norm_text("Product Name").alias("product_name"))
@@ -97,69 +145,93 @@ def _resolved_products(flat: DataFrame, categories: DataFrame,
             .join(by_pair, ["category_name", "subcategory_name"], "left")
             .join(by_name, "subcategory_name", "left")
             .withColumn("subcategory_id", F.coalesce("_sub_pair", "_sub_name")))
+    return _judge(found, _product_rules())
 
 
 def ingest_products(flat: DataFrame, categories: DataFrame, subcategories: DataFrame) -> DataFrame:
-    """Products whose category and subcategory resolve; the others are rejects."""
-    r = _resolved_products(flat, categories, subcategories)
-    return (r.filter(F.col("category_id").isNotNull() & F.col("subcategory_id").isNotNull())
+    """Products with a name whose category and subcategory resolve; the others are rejects."""
+    return (_accepted(_resolved_products(flat, categories, subcategories))
             .select("product_id", "category_id", "subcategory_id", "product_name"))
 
 
-def ingest_orders(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
+def _judged_orders(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
     first = _first_per_key(flat, "Order ID", ["Order Date", "Ship Date", "Ship Mode",
                                               "Customer ID"])
     types = {f.name: f.dataType for f in flat.schema.fields}
-    return first.select(
-        F.col("_key").alias("order_id"),
+    own = _judge(first.select(
+        "row_id", F.col("_key").alias("order_id"),
         lenient_date("Order Date", types["Order Date"]).alias("order_date"),
         lenient_date("Ship Date", types["Ship Date"]).alias("ship_date"),
         norm_enum("Ship Mode", domains.ship_modes).alias("ship_mode"),
-        norm_text("Customer ID").alias("customer_id"))
+        norm_text("Customer ID").alias("customer_id")), _order_rules())
+    parents = _rejected(_judged_customers(flat)).select(
+        "customer_id", F.lit("customer rejected").alias("_parent"))
+    return (own.join(parents, "customer_id", "left")
+            .withColumn("reason", F.coalesce("reason", "_parent")).drop("_parent"))
 
 
-def _all_lines(flat: DataFrame) -> DataFrame:
-    return flat.select(
+def ingest_orders(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
+    """Orders with a date and an accepted customer, not shipped before they were placed."""
+    return _accepted(_judged_orders(flat, domains)).select(
+        "order_id", "order_date", "ship_date", "ship_mode", "customer_id")
+
+
+def _judged_lines(flat: DataFrame) -> DataFrame:
+    """Every line with the reason of its own rules (parents are not looked at)."""
+    def amount(c: str, dtype):
+        return F.coalesce(F.col(c).cast("double"), F.lit(0.0)).try_cast(dtype)
+
+    return _judge(flat.select(
         F.col("row_id").alias("id"),
         norm_text("Order ID").alias("order_id"),
         norm_text("Product ID").alias("product_id"),
         F.lit(None).cast("string").alias("seller_id"),
-        F.coalesce(F.col("Sales").cast("double"), F.lit(0.0)).cast(MONEY).alias("sales"),
-        F.coalesce(F.col("Quantity").cast("double").cast("int"), F.lit(0)).alias("quantity"),
-        F.coalesce(F.col("Discount").cast("double"), F.lit(0.0)).cast(DISCOUNT).alias("discount"),
-        F.coalesce(F.col("Profit").cast("double"), F.lit(0.0)).cast(MONEY).alias("profit"))
-
-
-def _rejected_products(flat: DataFrame, categories: DataFrame,
-                       subcategories: DataFrame) -> DataFrame:
-    r = _resolved_products(flat, categories, subcategories)
-    return (r.filter(F.col("category_id").isNull() | F.col("subcategory_id").isNull())
-            .select("product_id", "row_id",
-                    F.when(F.col("category_id").isNull(), F.lit("unknown category"))
-                    .otherwise(F.lit("no subcategory")).alias("reason")))
+        amount("Sales", MONEY).alias("sales"),
+        amount("Quantity", "int").alias("quantity"),
+        amount("Discount", DISCOUNT).alias("discount"),
+        amount("Profit", MONEY).alias("profit")), _line_rules())
 
 
 def ingest_order_details(flat: DataFrame, categories: DataFrame,
                          subcategories: DataFrame) -> DataFrame:
-    """Every line whose product was accepted; ``id`` is the input order."""
-    bad = _rejected_products(flat, categories, subcategories).select("product_id")
-    return _all_lines(flat).join(bad, "product_id", "left_anti").select(
-        "id", "order_id", "product_id", "seller_id", "sales", "quantity", "discount", "profit")
+    """Every line that keeps its rules and whose order and product were accepted; ``id``
+    is the input order."""
+    bad_orders = _rejected(_judged_orders(flat)).select("order_id")
+    bad_products = _rejected(_resolved_products(flat, categories, subcategories)).select("product_id")
+    return (_accepted(_judged_lines(flat))
+            .join(bad_orders, "order_id", "left_anti")
+            .join(bad_products, "product_id", "left_anti")
+            .select("id", "order_id", "product_id", "seller_id", "sales", "quantity", "discount",
+                    "profit"))
 
 
 def ingest_rejects(flat: DataFrame, categories: DataFrame,
                    subcategories: DataFrame) -> DataFrame:
-    """Rows the reference would skip or fail on: products without a category or
-    subcategory, and the order lines pointing at them."""
-    bad = _rejected_products(flat, categories, subcategories)
-    products = bad.select(F.lit("products").alias("table_name"),
-                          F.col("product_id").alias("key"), "row_id", "reason")
-    lines = (_all_lines(flat).select("id", "product_id")
-             .join(bad.select("product_id"), "product_id")
-             .select(F.lit("order_details").alias("table_name"),
-                     F.col("id").cast("string").alias("key"), F.col("id").alias("row_id"),
-                     F.lit("product rejected").alias("reason")))
-    return products.unionByName(lines)
+    """(table_name, key, row_id, reason) of everything the tables leave out.  A line's own
+    rules come first, then its order, then its product."""
+    def listed(rows: DataFrame, table: str, key: str, row_id: str = "row_id", reason=None):
+        return rows.select(F.lit(table).alias("table_name"),
+                           F.col(key).cast("string").alias("key"),
+                           F.col(row_id).alias("row_id"),
+                           (F.col("reason") if reason is None else F.lit(reason)).alias("reason"))
+
+    products = _rejected(_resolved_products(flat, categories, subcategories))
+    orders = _rejected(_judged_orders(flat))
+    judged = _judged_lines(flat)
+    sound = _accepted(judged)
+    of_order = sound.join(orders.select("order_id"), "order_id", "left_semi")
+    of_product = (sound.join(orders.select("order_id"), "order_id", "left_anti")
+                  .join(products.select("product_id"), "product_id", "left_semi"))
+    parts = [listed(_rejected(_judged_customers(flat)), "customers", "customer_id"),
+             listed(products, "products", "product_id"),
+             listed(orders, "orders", "order_id"),
+             listed(_rejected(judged), "order_details", "id", "id"),
+             listed(of_order, "order_details", "id", "id", "order rejected"),
+             listed(of_product, "order_details", "id", "id", "product rejected")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @dataclass

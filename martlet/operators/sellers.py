@@ -10,8 +10,9 @@ all the line keeps its seller.  A NULL customer region is a region of its own
 
 Plan: sellers get an index within their region and an overall index from the
 distributed ranking (no per-region window, so one region holding a third of
-the sellers is still split across tasks); lines meet their order's region
-through one join and then the small seller index through a second.
+the sellers is still split across tasks); customers meet the size of their region,
+so lines get both through the join with their order and then meet the small seller
+index through a second.
 """
 
 from __future__ import annotations
@@ -64,11 +65,12 @@ def assign_sellers(m: Mart) -> DataFrame:
         return details
     sizes = (m.sellers.filter(F.col("seller_id").isNotNull())
              .groupBy(F.col("seller_region").alias("_r")).agg(F.count(F.lit(1)).alias("_n_r")))
+    customers = (m.customers.select("customer_id", "region")
+                 .join(sizes, F.col("region").eqNullSafe(F.col("_r")), "left"))
     region_of_order = (m.orders.select("order_id", "customer_id")
-                       .join(m.customers.select("customer_id", "region"), "customer_id")
-                       .select("order_id", "region", F.lit(True).alias("_has_region")))
-    lines = (details.join(region_of_order, "order_id", "left")
-             .join(sizes, F.col("region").eqNullSafe(F.col("_r")), "left"))
+                       .join(customers, "customer_id")
+                       .select("order_id", "region", "_n_r", F.lit(True).alias("_has_region")))
+    lines = details.join(region_of_order, "order_id", "left")
     use_region = F.col("_n_r").isNotNull()
     keyed = lines.withColumns({
         "_scope": F.when(use_region, F.lit(0)).otherwise(F.lit(1)),

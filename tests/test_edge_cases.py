@@ -121,23 +121,58 @@ def test_subcategory_found_by_name_alone(spark):
     assert got == [("P1", 7)]
 
 
-def test_null_money_becomes_zero_and_breaks_quantity_check(spark):
-    flat = _flat(spark, [_sheet_row(Sales=None, Quantity=None, Discount=None, Profit=None)])
-    line = I.ingest_order_details(flat, I.ingest_categories(flat),
-                                  I.ingest_subcategories(flat, I.ingest_categories(flat)))
-    assert rows_of(line, "sales", "quantity", "discount", "profit") == [
-        (D("0.00"), 0, D("0.00"), D("0.00"))]
-    m = basic_mart(spark).replace(order_details=line.select(
-        F.col("id"), F.lit(1).cast("long").alias("order_id"), F.lit(1).cast("long").alias("product_id"),
-        F.lit(None).cast("long").alias("seller_id"), "sales", "quantity", "discount", "profit"))
+def test_null_money_becomes_zero_and_null_quantity_is_rejected(spark):
+    flat = _flat(spark, [_sheet_row(Sales=None, Discount=None, Profit=None),
+                         _sheet_row(Quantity=None)])
+    res = I.ingest(flat)
+    assert rows_of(res.order_details, "id", "sales", "quantity", "discount", "profit") == [
+        (1, D("0.00"), 1, D("0.00"), D("0.00"))]
+    assert as_set(res.rejects, "table_name", "row_id", "reason") == {
+        ("order_details", 2, "quantity not above 0")}
+
+
+def test_quantity_check_counts_zero(spark):
+    m = basic_mart(spark, order_details=[(1, 1, 1, None, D("0.00"), 0, D("0.00"), D("0.00"))])
     v = {r.constraint_name: r.violations for r in check_ranges(m).collect()}
     assert v["chk_quantity"] == 1 and v["chk_sales"] == 0
 
 
 def test_orders_dates_and_ship_mode(spark):
-    flat = _flat(spark, [_sheet_row(**{"Order Date": "not a date", "Ship Mode": " same day"})])
+    flat = _flat(spark, [_sheet_row(**{"Ship Date": "not a date", "Ship Mode": " same day"})])
     got = rows_of(I.ingest_orders(flat), "order_id", "order_date", "ship_date", "ship_mode")
-    assert got == [("O1", None, dt.date(2017, 3, 18), "Same Day")]
+    assert got == [("O1", dt.date(2017, 3, 15), None, "Same Day")]
+
+
+def test_order_and_line_rules_and_their_children(spark):
+    flat = _flat(spark, [
+        _sheet_row(),
+        _sheet_row(**{"Order ID": "O2", "Order Date": "not a date"}),
+        _sheet_row(**{"Order ID": "O3", "Customer ID": None}),
+        _sheet_row(**{"Order ID": "O4", "Ship Date": "2017-03-01"}),
+        _sheet_row(**{"Order ID": "O5", "Customer ID": "C9", "Customer Name": None}),
+        _sheet_row(**{"Order ID": None}),
+        _sheet_row(**{"Product ID": None}),
+        _sheet_row(Sales=-1.0),
+        _sheet_row(Discount=1.5),
+        _sheet_row(Sales=1e15),
+        _sheet_row(**{"Order ID": "O2"}),
+        _sheet_row(**{"Product ID": "P7", "Product Name": None}),
+    ])
+    res = I.ingest(flat)
+    assert as_set(res.orders, "order_id") == {("O1",)}
+    assert as_set(res.customers, "customer_id") == {("C1",)}
+    assert rows_of(res.order_details, "id") == [(1,)]
+    assert as_set(res.rejects, "table_name", "key", "reason") == {
+        ("customers", "C9", "no customer name"), ("products", "P7", "no product name"),
+        ("orders", "O2", "no order date"), ("orders", "O3", "no customer id"),
+        ("orders", "O4", "shipped before ordered"), ("orders", "O5", "customer rejected"),
+        ("order_details", "2", "order rejected"), ("order_details", "3", "order rejected"),
+        ("order_details", "4", "order rejected"), ("order_details", "5", "order rejected"),
+        ("order_details", "6", "no order id"), ("order_details", "7", "no product id"),
+        ("order_details", "8", "negative sales"),
+        ("order_details", "9", "discount outside 0 to 1"),
+        ("order_details", "10", "amount out of range"),
+        ("order_details", "11", "order rejected"), ("order_details", "12", "product rejected")}
 
 
 # ------------------------------------------------------------------- sellers
