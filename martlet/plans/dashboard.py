@@ -238,7 +238,10 @@ def order_summary(m: Mart, top_n: int = 20, frame: DataFrame | None = None,
 
     Customer and date are attributes of the order, so each order carries one
     value of each: the customer name joins the group key (same groups, and the
-    aggregate stays a hash aggregate), the date is its ``max``."""
+    aggregate stays a hash aggregate), the date is its ``max``.  Without a frame the
+    newest orders are found from keys alone and only their lines are summed."""
+    if frame is None:
+        m = m.replace(order_details=_lines_of_newest(m, top_n))
     g = (_keys_present(_source(m, frame, "order"), ["order_id"])
          .groupBy("order_id", F.col("customer_name").alias("Customer"))
          .agg(F.max("order_date").alias("_date"),
@@ -251,6 +254,14 @@ def order_summary(m: Mart, top_n: int = 20, frame: DataFrame | None = None,
     return _as_money_text(top, ["Total Sales", "Total Profit"]) if as_text else top
 
 
+def _lines_of_newest(m: Mart, top_n: int) -> DataFrame:
+    """The lines of the ``top_n`` newest orders among those with a line in the wide join."""
+    kept = _surviving_lines(m, set()).select("order_id")
+    newest = (m.orders.select("order_id", "order_date").join(kept, "order_id", "left_semi")
+              .orderBy(F.col("order_date").desc_nulls_last(), "order_id").limit(top_n))
+    return m.order_details.join(newest.select("order_id"), "order_id", "left_semi")
+
+
 def category_sales_margin(m: Mart, frame: DataFrame | None = None,
                           as_text: bool = False) -> DataFrame:
     """Sales, profit, quantity, lines and margin % (half-even, 2 places) per

@@ -16,10 +16,11 @@ from martlet.operators import ingest as I
 from martlet.operators.sellers import (add_missing_column, assign_sellers, update_column,
                                        upsert_sellers)
 from martlet.params import TPCH_REGIONS, TPCH_SEGMENTS, TPCH_SHIP_MODES
+from martlet.plans.dashboard import yearly_sales
 from martlet.plans.frames import dashboard_frame
 from martlet.schema import TABLES
 from martlet.session import ensure_checkpoint_dir, materialize
-from martlet.sources.flat import flat_from_mart, read_dashboard_csv, sample_rows
+from martlet.sources.flat import flat_from_mart, read_dashboard_csv, read_flat, sample_rows
 from martlet.sources.mart import Mart, read_mart, write_mart
 
 TPCH_DOMAINS = I.Domains(segments=TPCH_SEGMENTS, regions=TPCH_REGIONS,
@@ -45,9 +46,9 @@ def noisy_sheet(m: Mart) -> DataFrame:
     return _SHEETS[key][1]
 
 
-def load_from_sheet(m: Mart, table: str) -> DataFrame:
-    """One table (or ``rejects``) of the ingest of the noisy sheet."""
-    flat = noisy_sheet(m)
+def load_from_sheet(m: Mart, table: str, flat: DataFrame | None = None) -> DataFrame:
+    """One table (or ``rejects``) of the ingest of a sheet (default: the noisy one)."""
+    flat = noisy_sheet(m) if flat is None else flat
     if table == "customers":
         return I.ingest_customers(flat, TPCH_DOMAINS)
     if table == "orders":
@@ -66,6 +67,35 @@ def load_from_sheet(m: Mart, table: str) -> DataFrame:
     return builders[table]()
 
 
+def ingest_sheet_csv(m: Mart) -> DataFrame:
+    """The noisy sheet exported as CSV, its columns in another order under padded
+    headers, read back by header name; then the order lines of its ingest."""
+    sheet = noisy_sheet(m)
+    path = _fresh_path(m, "sheet-csv")
+    names = sorted(sheet.columns)
+    (sheet.select(*[F.col(f"`{c}`").alias(f" {c} ") for c in names])
+     .write.option("header", True).csv(path))
+    return load_from_sheet(m, "order_details", read_flat(m.orders.sparkSession, path))
+
+
+def staged_categories(m: Mart) -> DataFrame:
+    """The sheet as a staging view, and its distinct (category, sub-category) pairs in SQL."""
+    noisy_sheet(m).createOrReplaceTempView("staged_sheet")
+    return m.orders.sparkSession.sql("""
+        SELECT DISTINCT trim(Category) AS category, trim(`Sub-Category`) AS sub_category
+        FROM staged_sheet WHERE Category IS NOT NULL""")
+
+
+def stored_frame_yearly_sales(m: Mart) -> DataFrame:
+    """The dashboard frame written once, and a report over the stored copy."""
+    return yearly_sales(m, frame=materialize(dashboard_frame(m), "dashboard-frame"))
+
+
+def _fresh_path(m: Mart, label: str) -> str:
+    base = ensure_checkpoint_dir(m.orders.sparkSession).rstrip("/")
+    return f"{base}/martlet-tables/{label}-{uuid.uuid4().hex}"
+
+
 def upsert_sellers_demo(m: Mart) -> DataFrame:
     """Sellers of every region but one are already stored; the full seller list
     arrives again with new e-mail addresses.  Stored rows keep theirs; the
@@ -100,8 +130,7 @@ def update_line_sellers(m: Mart) -> DataFrame:
 def append_order_details(m: Mart) -> DataFrame:
     """A full refresh with the lines of even ids, then an append of the others; the stored
     fact holds every line once."""
-    base = ensure_checkpoint_dir(m.orders.sparkSession).rstrip("/")
-    path = f"{base}/martlet-tables/append-{uuid.uuid4().hex}"
+    path = _fresh_path(m, "append")
     even = F.col("id") % 2 == 0
     write_mart(m.replace(order_details=m.order_details.filter(even)), path)
     rest = {t: m.table(t).filter(F.lit(False)) for t in TABLES}
@@ -122,8 +151,7 @@ def csv_data_range(m: Mart) -> DataFrame:
     """The dashboard frame exported as CSV, read back with inferred types and
     lenient date parsing, then the data-range numbers over it."""
     spark = m.orders.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/martlet-tables/dashboard-csv-{uuid.uuid4().hex}"
+    path = _fresh_path(m, "dashboard-csv")
     (dashboard_frame(m).drop("year", "month")
      .write.option("header", True).csv(path))
     frame = read_dashboard_csv(spark, path)

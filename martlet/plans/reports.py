@@ -263,17 +263,20 @@ def order_invoice(m: Mart, order_id) -> DataFrame:
 def search_orders(m: Mart, term: str = "", limit: int = 50) -> DataFrame:
     """Orders whose id or customer name contains ``term`` (case-insensitive,
     ``%`` and ``_`` act as wildcards), with item count, sales and profit;
-    newest first.  The text predicate is applied on orders joined to customers,
-    before the fact is touched."""
+    newest first.  The date is the order's own, so the newest ``limit`` matching orders
+    that have lines are taken first (the fact gives only its order ids for that), and
+    only their lines are summed."""
     pattern = f"%{term}%"
-    matching = (order_dim(m)
-                .filter(F.col("order_id").cast("string").ilike(pattern)
-                        | F.col("customer_name").ilike(pattern))
-                .select("order_id", "order_date", "customer_name", "city", "state"))
     lines = m.order_details.select("order_id", "sales", "profit")
-    per_order = (matching.join(lines, "order_id")
+    newest = (order_dim(m)
+              .filter(F.col("order_id").cast("string").ilike(pattern)
+                      | F.col("customer_name").ilike(pattern))
+              .select("order_id", "order_date", "customer_name", "city", "state")
+              .join(lines.select("order_id"), "order_id", "left_semi")
+              .orderBy(_desc("order_date"), "order_id").limit(limit))
+    per_order = (newest.join(lines, "order_id")
                  .groupBy("order_id", "order_date", "customer_name", "city", "state")
                  .agg(F.count(F.lit(1)).alias("total_items"),
                       _dbl(F.sum("sales")).alias("total_sales"),
                       _dbl(F.sum("profit")).alias("total_profit")))
-    return per_order.orderBy(_desc("order_date"), "order_id").limit(limit)
+    return per_order.orderBy(_desc("order_date"), "order_id")

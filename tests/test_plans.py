@@ -15,7 +15,8 @@ def _optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+# The training-data operators choose their style each; their tests are in tests/llm.
+@pytest.mark.parametrize("key", sorted(entry.REGISTRY))
 def test_no_python_udf_in_any_plan(spark, sf_dir, key):
     plan = _plan(entry.queries()[key](spark, sf_dir))
     for marker in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
@@ -75,6 +76,12 @@ def test_ytd_reads_the_fact_once(spark, sf_dir):
     assert len(scans) == 1
 
 
+@pytest.mark.parametrize("key", ["search_orders_all", "order_summary"])
+def test_newest_orders_are_taken_before_lines_are_summed(spark, sf_dir, key):
+    plan = _optimized(entry.queries()[key](spark, sf_dir))
+    assert plan.index("sum(sales") < plan.rindex("GlobalLimit"), plan
+
+
 def _children(node):
     kids = node.children()
     return [kids.apply(i) for i in range(kids.size())]
@@ -98,7 +105,7 @@ def _reads_fact(node) -> bool:
                for n in _walk(node))
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(entry.REGISTRY))
 def test_fact_rows_never_pass_one_partition(spark, sf_dir, key):
     """A single-partition exchange may only carry aggregated rows, or input
     that does not come from the fact table."""
