@@ -1,5 +1,11 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, personal
-data, mixing.  ``STAGES`` are applied in order, each stored before the next."""
+data, mixing.  ``STAGES`` are applied in order, each stored before the next.
+
+Edge cases: every stage decides on rows, not ids.  Rows with a null id are judged like any
+other; rows of one id and different content each get their own decision; of rows equal in
+id and content the near-duplicate stage keeps one.  Null and empty texts fail the quality
+rules.  Columns beyond those of ``documents`` are left out; empty tables pass every stage.
+"""
 
 from __future__ import annotations
 
@@ -13,26 +19,36 @@ from martlet.llm.quality_rules import judge
 from martlet.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# What a row says: equal for rows that every stage decides alike (null and "" differ).
+CONTENT = F.xxhash64("text", F.col("lang").isNull(), "lang", "source")
 
 
 def quality(spark, docs, sf_dir):
     """Drop the documents that the quality rules reject (operator 9)."""
-    verdicts = judge(docs.select("doc_id", "text", "lang", "source"))
-    rejected = verdicts.where(~F.col("q_kept")).select("doc_id")
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti")
+    docs = docs.select(*COLUMNS, CONTENT.alias("content"))
+    verdicts = judge(docs.drop("n_chars"))
+    rejected = verdicts.where(~F.col("q_kept")).select(
+        F.col("doc_id").alias("r_id"), F.col("content").alias("r_content")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("r_id"))
+                     & (F.col("content") == F.col("r_content")), "left_anti").select(*COLUMNS)
 
 
 def near_duplicate(spark, docs, sf_dir):
-    """Keep the document with the smallest id of each SimHash component (operator 8)."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    copies = groups.where(F.col("doc_id") != F.col("sh_component")).select("doc_id")
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    """Keep one row of each SimHash component (operator 8): the smallest id, else content."""
+    docs = keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    groups = keep(near_duplicates(docs.select("row", "doc_id", CONTENT.alias("content"), "text")), "groups")
+    first = groups.groupBy("sh_root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row")).alias("first"))
+    copies = groups.select("row").join(first.select("first.row"), "row", "left_anti")
+    return docs.join(copies, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Drop the documents that hold a benchmark item (operator 4)."""
-    found = leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Drop the documents that hold a benchmark item (operator 4).  Whether one does is a
+    matter of its text alone, so texts are told apart by hash."""
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("said"))
+    found = leaks(docs.select("said", "text"), table(spark, sf_dir, "benchmark"), key="said")
+    return docs.join(found.select("said").distinct(), "said", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark, docs, sf_dir):

@@ -14,7 +14,8 @@ the ``HEAD`` most frequent words are broadcast, all others are joined by 64-bit
 
 Edge cases: null or empty texts are one end token; null ids are scored but, having
 no fold, neither held out nor learnt; an empty training part gives N = V = 0 and
-probability one for every token; repeated rows count and are scored each.
+probability one for every token; repeated rows count and are scored each; extra columns
+pass through, but for those named ``lm_...`` like the operator's own.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, keep, with_text_columns
+from .common import crc_fold, keep, with_text_columns, without_own
 
 SEED = 42
 END = b"\n"           # whitespace: never a word
@@ -229,6 +230,7 @@ def score(docs: DataFrame, model: dict, words: DataFrame, text: str = "text") ->
     (add-one unigram log10 probability) and ``lm_score`` (filter model)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    docs = without_own(docs, "lm_")
     others = [c for c in docs.columns if c != text]
     source = docs.withColumn("lm_row", F.monotonically_increasing_id())
     longs = T.ArrayType(T.LongType())
@@ -289,12 +291,12 @@ def score(docs: DataFrame, model: dict, words: DataFrame, text: str = "text") ->
     tail = scored.select("lm_row", F.explode(F.arrays_zip("lm_tail", "lm_tail_n")).alias("t")).select(
         "lm_row", F.col("t.lm_tail").alias("key"), F.col("t.lm_tail_n").alias("n"))
     counted = tail.join(words, "key", "left").groupBy("lm_row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / bottom)).alias("base"))
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("lm_known"),
+        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / bottom)).alias("lm_tail_base"))
     return scored.drop("lm_tail", "lm_tail_n").join(counted, "lm_row", "left").select(
         *others, "lm_n_tokens",
-        (F.col("lm_head_known") + F.coalesce("known", F.lit(0))).alias("lm_n_known"),
-        (F.col("lm_head") + F.coalesce("base", F.lit(0.0))).alias("lm_base"), "lm_score")
+        (F.col("lm_head_known") + F.coalesce("lm_known", F.lit(0))).alias("lm_n_known"),
+        (F.col("lm_head") + F.coalesce("lm_tail_base", F.lit(0.0))).alias("lm_base"), "lm_score")
 
 
 def lm_report(docs: DataFrame) -> DataFrame:

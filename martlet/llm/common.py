@@ -28,6 +28,11 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_own(docs: DataFrame, prefix: str) -> DataFrame:
+    """``docs`` without columns named like an operator's own (they start with its prefix)."""
+    return docs.drop(*[c for c in docs.columns if c.lower().startswith(prefix)])
+
+
 def space_words(text: Column) -> Column:
     """Words of a text as an array: maximal runs of non-whitespace (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
@@ -50,8 +55,8 @@ def with_text_columns(docs: DataFrame, text: str, fields: list[tuple], make: Cal
     from pyspark.sql.pandas.types import to_arrow_schema
 
     others = [c for c in docs.columns if c != text]
-    source = docs.select(F.col(text).cast("string").alias("_whole_text"), *others)
-    schema = T.StructType([f for f in source.schema.fields if f.name != "_whole_text"]
+    source = docs.select(F.col(text).cast("string").alias(text), *others)
+    schema = T.StructType(source.schema.fields[1:]
                           + [T.StructField(n, t) for n, t in fields])
 
     def run(batches):

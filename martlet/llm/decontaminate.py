@@ -18,8 +18,9 @@ words add nothing to a product with an item (they do count in a passage's length
 The benchmark is a stated query set: it is handled in blocks of ``ITEMS`` items, whose
 vocabulary times RANK bounds all that is broadcast or brought to the driver.
 
-Edge cases: null and empty texts and items never match; a null id passes through; a
-repeated row gets each of its matches; items of equal text all match; an empty
+Edge cases: null and empty texts and items never match; a row with a null id has no
+pairs; a repeated row gets each of its matches; repeated items count once, items of equal
+text and different ids all match; an empty
 benchmark or corpus gives no pairs.
 """
 
@@ -36,7 +37,8 @@ BLOCK = 16
 RANK = 256            # dimensions of the latent space,
 SKETCH = 48           # of which the corpus' passages determine so many
 COSINE = 0.4
-COMMON = 0.1          # terms in a larger share of all passages weigh nothing
+COMMON = 0.1          # terms in a larger share of all passages weigh nothing,
+HOT = 0.5             # but this share of the rarest term's weight where they make up most of an item
 VERBATIM = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.75
@@ -165,18 +167,22 @@ def fit(docs: DataFrame, items: list[tuple], rank: int = RANK, sketch_size: int
             passages = n
         else:
             df[term], sketch[term] = n, row
-    idf = np.where(df > max(COMMON * passages, 10), 0.0, np.log((passages + 2.0) / (df + 1.0)))
     rarest = float(np.log(passages + 2.0))
-    sketch *= idf[:, None]
-    rows, owner = [], []
+    common = df > max(COMMON * passages, 10)
+    idf = np.where(common, 0.0, np.log((passages + 2.0) / (df + 1.0)))
+    parts = []
     for i, ws in enumerate(words):
         ids = np.array([vocabulary[w] for w in ws], dtype=np.int64)
-        for a, b in _passages(len(ids)):
-            row = np.zeros(size)
-            np.add.at(row, ids[a:b], idf[ids[a:b]])
-            rows.append(row)
-            owner.append(i)
-    own = np.array(rows)
+        parts += [(i, ids[a:b]) for a, b in _passages(len(ids))]
+    for _, ids in parts:
+        terms = np.unique(ids)
+        if 2 * common[terms].sum() > len(terms):   # the item itself is common: it must stay visible
+            idf[terms[common[terms]]] = HOT * rarest
+    sketch *= idf[:, None]
+    rows, owner = np.zeros((len(parts), size)), [i for i, _ in parts]
+    for row, (_, ids) in zip(rows, parts):
+        np.add.at(row, ids, idf[ids])
+    own = rows
     corpus, _, _ = np.linalg.svd(sketch, full_matrices=False)
     bench, values, _ = np.linalg.svd(own.T, full_matrices=False)
     bench = bench[:, values > 1e-9 * max(values[0], 1e-30)][:, :max(rank - sketch_size, 1)]
@@ -286,7 +292,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """(key, item, cosine, lcs_share, answer_found) for every leak."""
     spark = docs.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    wanted = benchmark.select(F.col(item).cast("long").alias("id"), F.col("text"), answer.alias("answer"))
+    wanted = benchmark.select(F.col(item).cast("long").alias("id"), F.col("text"), answer.alias("answer")).distinct()
     blocks = -(-wanted.count() // ITEMS)
     texts = docs.select(F.col(key).cast("long").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "row long, item long, cosine double, share double, answered boolean"

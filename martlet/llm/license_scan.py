@@ -8,7 +8,8 @@ enough words agree on one offset and its mandatory phrases stand in the file.
 Exact key phrases ("base") are counted beside it; their labels always stay.
 
 Edge cases: null and empty texts have no words, no labels and score 0; repeated
-rows are scanned each on its own; an empty corpus gives an empty result.
+rows are scanned each on its own; an empty corpus gives an empty result; extra columns
+pass through, but for those named ``lic_...`` like the operator's own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, without_own
 
 # Fixed values of the contract: phrase -> label.
 BASE_PHRASES = {
@@ -104,6 +105,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, text: str =
     """``docs`` without its text, plus ``lic_n_words``, ``lic_n_base``,
     ``lic_first_word``, ``lic_last_word``, ``lic_base`` and ``lic_labels`` (sorted
     arrays) and ``lic_score`` (share of a template's looked-up words found in place)."""
+    docs = without_own(docs, "lic_")
     others = [c for c in docs.columns if c != text]
     index = _postings(templates)
     vocabulary = F.array(*[F.lit(w) for w in index])
@@ -164,15 +166,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, text: str =
                                         if any(x[0] == label for x in p)})) for label in templates}
     size_of = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(n))])
     found = agreed.where(F.col("agree") >= MIN_AGREE).groupBy("lic_row").agg(
-        F.collect_set("label").alias("m_labels"),
-        F.max(F.least(F.lit(1.0), F.col("agree") / size_of[F.col("label")])).alias("m_score"))
+        F.collect_set("label").alias("lic_m_labels"),
+        F.max(F.least(F.lit(1.0), F.col("agree") / size_of[F.col("label")])).alias("lic_m_score"))
     joined = out.drop("lic_found", "lic_verified").join(found, "lic_row", "left")
     none = F.array().cast("array<string>")
     return joined.select(
         *others, "lic_n_words", "lic_n_base", "lic_first_word", "lic_last_word", "lic_base",
-        F.array_sort(F.array_union("lic_base", F.coalesce("m_labels", none))).alias("lic_labels"),
+        F.array_sort(F.array_union("lic_base", F.coalesce("lic_m_labels", none))).alias("lic_labels"),
         F.when(F.size("lic_base") > 0, F.lit(1.0)).otherwise(
-            F.coalesce("m_score", F.lit(0.0))).alias("lic_score"))
+            F.coalesce("lic_m_score", F.lit(0.0))).alias("lic_score"))
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -15,7 +15,7 @@ task holds a source, and texts are never shuffled.
 Edge cases: a null source is a source of its own; null and empty texts weigh no tokens
 and follow their source's whole blocks (and its last one, if their key lies before the
 cut); equal rows share a key and are dealt together; an empty table, or one without
-tokens, gives no rows; input columns pass through, but for those named as an output.
+tokens, gives no rows; input columns pass through, but for those named as an output or ``_mix_plan``.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """``docs``, each row as often as its source's blocks hold it, plus ``mix_block``
     (1, 2, ...), ``mix_key`` (order inside the block) and ``mix_weight``."""
-    docs = docs.drop("mix_block", "mix_key", "mix_weight")
+    docs = docs.drop("mix_block", "mix_key", "mix_weight", "_mix_plan")
     place = lambda block, k=key, s=source: F.xxhash64(F.lit(seed), block, F.col(k), F.col(s))
     light = keep(docs.select(F.col(key).alias("k"), F.col(source).alias("src"), count_tokens(F.col(text)).alias("tokens")), "mix-rows")
     sources = keep(light.groupBy(F.col("src").alias("s")).agg(

@@ -10,7 +10,8 @@ Collision checks: a surrogate that is itself a real entity, or that another enti
 taken, is drawn again with the next attempt number until all are distinct.
 
 Edge cases: null texts stay null; texts without entities pass unchanged; repeated
-rows and extra columns pass through; an empty table gives an empty result.
+rows and extra columns pass through, but for columns named ``pii_...`` like the operator's
+own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, without_own
 
 KEY = "martlet-surrogates"
 ATTEMPTS = 64
@@ -176,6 +177,7 @@ def _render(kind: Column, mention: Column, surrogate: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with its texts rewritten, plus ``pii_entities`` (mentions replaced)."""
+    docs = without_own(docs, "pii_")
     found = keep(find_mentions(docs.withColumn("pii_row", F.monotonically_increasing_id()), text), "pii-found")
     hit = F.coalesce(F.size("pii_mentions"), F.lit(0)) > 0
     mentions = found.where(hit).select("pii_row", F.posexplode("pii_mentions").alias("at", "mention"))

@@ -10,7 +10,8 @@ so a hot source costs no more per task than its share of map-side sums.
 Edge cases: a null or empty text has no words and fails the base rules; null
 language or source form groups of their own (null-safe joins); an empty table
 gives an empty result; repeated rows are judged each on its own; a group too
-small to have a scatter falls back on the floor of each statistic.
+small to have a scatter falls back on the floor of each statistic; extra columns pass
+through, but for those named ``q_...`` like the operator's own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, count_chars, keep, space_words
+from .common import SPACE_CLASS, count_chars, keep, space_words, without_own
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -115,22 +116,22 @@ def _cholesky(scatter: DataFrame, names: list[str], floors: dict[str, float]) ->
     out = scatter
     for i, a in enumerate(names):
         for j, b in enumerate(names[:i + 1]):
-            s = F.col(f"s_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")
+            s = F.col(f"q_s_{a}_{b}") - F.col(f"q_m_{a}") * F.col(f"q_m_{b}")
             if a == b:
                 s = F.greatest(s, F.lit(0.0)) + F.lit(floors[a] ** 2)
             for c in names[:j]:
-                s = s - F.col(f"l_{a}_{c}") * F.col(f"l_{b}_{c}")
+                s = s - F.col(f"q_l_{a}_{c}") * F.col(f"q_l_{b}_{c}")
             value = F.sqrt(F.greatest(s, F.lit(floors[a] ** 2 / 4))) if a == b \
-                else s / F.col(f"l_{b}_{b}")
-            out = out.withColumn(f"l_{a}_{b}", value)
+                else s / F.col(f"q_l_{b}_{b}")
+            out = out.withColumn(f"q_l_{a}_{b}", value)
     return out
 
 
 def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys],
+    renamed = groups.select(*[F.col(k).alias(f"q_g_{k}") for k in keys],
                             *[c for c in groups.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys]
-    return rows.join(renamed, on).drop(*[f"g_{k}" for k in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"q_g_{k}")) for k in keys]
+    return rows.join(renamed, on).drop(*[f"q_g_{k}" for k in keys])
 
 
 def mcd_distances(rows: DataFrame, keys: list[str], floors: dict[str, float],
@@ -141,18 +142,18 @@ def mcd_distances(rows: DataFrame, keys: list[str], floors: dict[str, float],
     def fit(frame: DataFrame, inside: Column, label: str) -> DataFrame:
         aggs = []
         for i, a in enumerate(names):
-            aggs.append(F.avg(F.when(inside, F.col(a))).alias(f"m_{a}"))
-            aggs += [F.avg(F.when(inside, F.col(a) * F.col(b))).alias(f"s_{a}_{b}")
+            aggs.append(F.avg(F.when(inside, F.col(a))).alias(f"q_m_{a}"))
+            aggs += [F.avg(F.when(inside, F.col(a) * F.col(b))).alias(f"q_s_{a}_{b}")
                      for b in names[:i + 1]]
         scatter = _cholesky(frame.groupBy(*keys).agg(*aggs), names, floors)
-        wanted = [f"m_{a}" for a in names] + [f"l_{a}_{b}" for i, a in enumerate(names)
+        wanted = [f"q_m_{a}" for a in names] + [f"q_l_{a}_{b}" for i, a in enumerate(names)
                                               for b in names[:i + 1]]
         return keep(scatter.select(*keys, *wanted), label)
 
     def measured(groups: DataFrame) -> DataFrame:
         joined = _join_groups(rows, groups, keys)
-        mean = {a: F.col(f"m_{a}") for a in names}
-        factor = {(a, b): F.col(f"l_{a}_{b}") for i, a in enumerate(names)
+        mean = {a: F.col(f"q_m_{a}") for a in names}
+        factor = {(a, b): F.col(f"q_l_{a}_{b}") for i, a in enumerate(names)
                   for b in names[:i + 1]}
         return joined.select(*rows.columns, _distance(names, mean, factor).alias("q_d2"))
 
@@ -164,9 +165,9 @@ def mcd_distances(rows: DataFrame, keys: list[str], floors: dict[str, float],
     quartiles = rows.groupBy(*keys).agg(*[
         F.percentile_approx(a, [0.25, 0.5, 0.75], 10000).alias(a) for a in names])
     start = keep(quartiles.select(
-        *keys, *[F.col(a)[1].alias(f"m_{a}") for a in names],
+        *keys, *[F.col(a)[1].alias(f"q_m_{a}") for a in names],
         *[(F.lit(0.0) if a != b else F.greatest((F.col(a)[2] - F.col(a)[0]) / 1.349,
-                                                F.lit(floors[a]))).alias(f"l_{a}_{b}")
+                                                F.lit(floors[a]))).alias(f"q_l_{a}_{b}")
           for i, a in enumerate(names) for b in names[:i + 1]]), "mcd-start")
     groups = start
     for step in range(steps):
@@ -187,6 +188,7 @@ def judge(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), text: str
           reject: float = CHI2_REJECT) -> DataFrame:
     """Statistics, robust distance ``q_d2``, ``q_base_failed`` and ``q_kept`` per
     document; the text itself is not carried (join back on a key if wanted)."""
+    docs = without_own(docs, "q_")
     others = [c for c in docs.columns if c != text]
     stats = text_statistics(docs, text).drop(text)
     stats = keep(stats.withColumns(_features()), "quality-stats")

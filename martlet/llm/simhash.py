@@ -15,7 +15,8 @@ components of the stars are merged by alternating star contraction.
 Edge cases: null and empty texts have fingerprint zero and link like any other;
 rows with a null id take part and get the component of their fingerprint (null only
 if nothing in it has an id); repeated rows share fingerprint and component; an
-empty table gives an empty result.
+empty table gives an empty result; extra columns pass through, but for those named
+``sh_...`` like the operator's own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, with_text_columns
+from .common import keep, with_text_columns, without_own
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -225,17 +226,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` without its text, plus ``sh_fp`` and ``sh_component`` (smallest key
-    reachable over links)."""
-    marked = keep(fingerprints(docs, text, shingle), "fingerprints")
+    """``docs`` without its text, plus ``sh_fp``, ``sh_component`` (smallest key reachable
+    over links) and ``sh_root`` (a fingerprint that names the component, keys or none)."""
+    marked = keep(fingerprints(without_own(docs, "sh_"), text, shingle), "fingerprints")
     lowest = keep(marked.groupBy(F.col("sh_fp").alias("fp")).agg(F.min(key).alias("least")),
                   "distinct-fp")
     roots = components(links(lowest, max_bits))
     rooted = lowest.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("sh_component"))
-    named = rooted.join(smallest, "root").select("fp", "sh_component")
-    return marked.join(named, F.col("sh_fp") == F.col("fp")).drop("fp")
+    named = rooted.join(smallest, "root").select(
+        F.col("fp").alias("sh_fp"), "sh_component", F.col("root").alias("sh_root"))
+    return marked.join(named, "sh_fp").select(*marked.columns, "sh_component", "sh_root")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

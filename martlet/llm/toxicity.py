@@ -10,7 +10,8 @@ bound); scoring covers every whole text.
 
 Edge cases: null and empty texts have no n-grams and score by the intercept;
 without labels of both classes the score is the smoothed share of the positive
-class; documents with several label rows use the largest; extra columns pass through.
+class; documents with several label rows use the largest; extra columns pass through, but
+for those named ``tx_...`` like the operator's own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, with_text_columns
+from .common import crc_fold, with_text_columns, without_own
 
 ORDERS = (4, 5, 6)
 DIM_BITS = 19
@@ -127,7 +128,7 @@ def classify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def make():
         return lambda texts: [[score(features(t), shared.value) for t in texts]]
-    return with_text_columns(docs, text, [("tx_score", T.DoubleType())], make)
+    return with_text_columns(without_own(docs, "tx_"), text, [("tx_score", T.DoubleType())], make)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
