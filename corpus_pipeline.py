@@ -1,5 +1,7 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, personal
-data, mixing.  ``STAGES`` are applied in order, each stored before the next.
+data, mixing.  ``STAGES`` are applied in order, each stored before the next.  A stage's
+decisions are stored before they meet the texts: the planner then knows their size, and
+moves texts only if the decisions are too many to send to every executor.
 
 Edge cases: every stage decides on rows, not ids.  Rows with a null id are judged like any
 other; rows of one id and different content each get their own decision; of rows equal in
@@ -27,8 +29,8 @@ def quality(spark, docs, sf_dir):
     """Drop the documents that the quality rules reject (operator 9)."""
     docs = docs.select(*COLUMNS, CONTENT.alias("content"))
     verdicts = judge(docs.drop("n_chars"))
-    rejected = verdicts.where(~F.col("q_kept")).select(
-        F.col("doc_id").alias("r_id"), F.col("content").alias("r_content")).distinct()
+    rejected = keep(verdicts.where(~F.col("q_kept")).select(
+        F.col("doc_id").alias("r_id"), F.col("content").alias("r_content")), "rejected")
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("r_id"))
                      & (F.col("content") == F.col("r_content")), "left_anti").select(*COLUMNS)
 
@@ -39,7 +41,7 @@ def near_duplicate(spark, docs, sf_dir):
     groups = keep(near_duplicates(docs.select("row", "doc_id", CONTENT.alias("content"), "text")), "groups")
     first = groups.groupBy("sh_root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row")).alias("first"))
-    copies = groups.select("row").join(first.select("first.row"), "row", "left_anti")
+    copies = keep(groups.select("row").join(first.select("first.row"), "row", "left_anti"), "copies")
     return docs.join(copies, "row", "left_anti").select(*COLUMNS)
 
 
@@ -48,7 +50,8 @@ def decontamination(spark, docs, sf_dir):
     matter of its text alone, so texts are told apart by hash."""
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("said"))
     found = leaks(docs.select("said", "text"), table(spark, sf_dir, "benchmark"), key="said")
-    return docs.join(found.select("said").distinct(), "said", "left_anti").select(*COLUMNS)
+    found = keep(found.select("said").distinct(), "leaks")
+    return docs.join(found, "said", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark, docs, sf_dir):
