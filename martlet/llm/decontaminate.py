@@ -94,12 +94,13 @@ def _sketch_rows(vocabulary, rank):
             nonlocal passages
             passages += n
             z = _sum_blocks(omega[ids], passage, n)
-            order = np.argsort(ids, kind="stable")
+            order = np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")  # radix sort
             term, at = ids[order], passage[order]
             first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
             total[term[first]] += np.add.reduceat(z[at], first, axis=0)
-            pair = np.unique(term * np.int64(n) + at)
-            df[:] += np.bincount(pair // n, minlength=size)
+            # The sort is stable, so a term's passages are in order: equal pairs are neighbours.
+            new = np.r_[True, (term[1:] != term[:-1]) | (at[1:] != at[:-1])]
+            df[:] += np.bincount(term[new], minlength=size)
 
         for pdf in batches:
             held, places, size_held, n = [], [], 0, 0
