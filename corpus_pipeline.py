@@ -21,13 +21,16 @@ from martlet.llm.quality_rules import judge
 from martlet.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# What a row says: equal for rows that every stage decides alike (null and "" differ).
-CONTENT = F.xxhash64("text", F.col("lang").isNull(), "lang", "source")
+
+
+def content():
+    """What a row says, as a hash; a null language and a null source differ."""
+    return F.xxhash64("text", F.col("lang").isNull(), "lang", "source")
 
 
 def quality(spark, docs, sf_dir):
     """Drop the documents that the quality rules reject (operator 9)."""
-    docs = docs.select(*COLUMNS, CONTENT.alias("content"))
+    docs = docs.select(*COLUMNS, content().alias("content"))
     verdicts = judge(docs.drop("n_chars"))
     rejected = keep(verdicts.where(~F.col("q_kept")).select(
         F.col("doc_id").alias("r_id"), F.col("content").alias("r_content")), "rejected")
@@ -38,7 +41,7 @@ def quality(spark, docs, sf_dir):
 def near_duplicate(spark, docs, sf_dir):
     """Keep one row of each SimHash component (operator 8): the smallest id, else content."""
     docs = keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
-    groups = keep(near_duplicates(docs.select("row", "doc_id", CONTENT.alias("content"), "text")), "groups")
+    groups = keep(near_duplicates(docs.select("row", "doc_id", content().alias("content"), "text")), "groups")
     first = groups.groupBy("sh_root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row")).alias("first"))
     copies = keep(groups.select("row").join(first.select("first.row"), "row", "left_anti"), "copies")
