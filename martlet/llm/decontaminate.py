@@ -15,8 +15,11 @@ words add nothing to a product with an item (they do count in a passage's length
    is measured: at ``VERBATIM`` of the item's words it is a leak; from ``PARAPHRASE`` on
    the item's answer (column ``answer``, else its last sentence) must be found too.
 
-The benchmark is a stated query set: it is handled in blocks of ``ITEMS`` items, whose
-vocabulary times RANK bounds all that is broadcast or brought to the driver.
+The benchmark is a stated query set: it is handled in blocks of at most RANK - SKETCH
+passages, so that every passage of a block has its own dimension and none is truncated.
+A block's vocabulary times RANK bounds all that is broadcast or brought to the driver;
+only an item of more passages than that has a block, and a larger space, of its own.
+Each block reads the corpus twice.
 
 Edge cases: null and empty texts and items never match; a row with a null id has no
 pairs; a repeated row gets each of its matches; repeated items count once, items of equal
@@ -42,7 +45,6 @@ HOT = 0.5             # but this share of the rarest term's weight where they ma
 VERBATIM = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.75
-ITEMS = 2000
 SEED = 11
 _EDGES = b".,;:!?()[]{}\"'|*%&#$<>"
 
@@ -148,7 +150,23 @@ def _answer(text: str, answer: str | None) -> list[bytes]:
     return norm_words(sentences[-1]) if sentences else []
 
 
-def fit(docs: DataFrame, items: list[tuple], rank: int = RANK, sketch_size: int = SKETCH) -> dict | None:
+def blocks_of(items, passages: int = RANK - SKETCH):
+    """The items that have words, (id, text, answer), in blocks of at most so many passages;
+    an item of more is a block by itself."""
+    block, held = [], 0
+    for item in items:
+        n = len(_passages(len(norm_words(item[1]))))
+        if block and held + n > passages:
+            yield block
+            block, held = [], 0
+        if n:
+            block.append(item)
+            held += n
+    if block:
+        yield block
+
+
+def fit(docs: DataFrame, items: list[tuple], sketch_size: int = SKETCH) -> dict | None:
     """The latent space of the corpus' passages and one block of items
     (id, text, answer), and the items' passages in it."""
     spark = docs.sparkSession
@@ -157,7 +175,7 @@ def fit(docs: DataFrame, items: list[tuple], rank: int = RANK, sketch_size: int
     if not vocabulary:
         return None
     size = len(vocabulary)
-    rank, sketch_size = min(rank, size), min(sketch_size, size)
+    sketch_size = min(sketch_size, size)
     shared = spark.sparkContext.broadcast(vocabulary)
     schema = "term long, df long, row array<float>"
     partial = docs.mapInPandas(_sketch_rows(shared, sketch_size), schema)
@@ -186,7 +204,7 @@ def fit(docs: DataFrame, items: list[tuple], rank: int = RANK, sketch_size: int
     own = rows
     corpus, _, _ = np.linalg.svd(sketch, full_matrices=False)
     bench, values, _ = np.linalg.svd(own.T, full_matrices=False)
-    bench = bench[:, values > 1e-9 * max(values[0], 1e-30)][:, :max(rank - sketch_size, 1)]
+    bench = bench[:, values > 1e-9 * max(values[0], 1e-30)]
     space, _ = np.linalg.qr(np.hstack([bench, corpus]))
     latent = own @ space
     lengths = np.linalg.norm(latent, axis=1)
@@ -294,13 +312,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     spark = docs.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     wanted = benchmark.select(F.col(item).cast("long").alias("id"), F.col("text"), answer.alias("answer")).distinct()
-    blocks = -(-wanted.count() // ITEMS)
     texts = docs.select(F.col(key).cast("long").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "row long, item long, cosine double, share double, answered boolean"
     found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        items = [tuple(r) for r in wanted.where(
-            F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()]
+    # Items stream to the driver in a fixed order; it holds one block at a time.
+    for items in blocks_of(tuple(r) for r in wanted.orderBy("id", "text", "answer").toLocalIterator()):
         model = fit(texts.select("text"), items)
         if model is not None:
             shared = spark.sparkContext.broadcast(model)

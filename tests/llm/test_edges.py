@@ -109,3 +109,27 @@ def test_items_in_a_third_of_all_documents_are_found(spark):
     bench = spark.createDataFrame([(1, hot), (2, rare)], BENCH)
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, bench).collect()}
     assert found == {(i, 1) for i in range(0, 300, 3)} | {(1, 2)}
+
+
+def test_a_thousand_items_are_found(spark):
+    import random
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 9))) for _ in range(6000)]
+    weights = [1 / (i + 20) for i in range(len(words))]
+    texts = [rnd.choices(words, weights, k=220) for _ in range(1000)]
+    items = []
+    for i, t in enumerate(texts):
+        n = rnd.randint(15, 59)
+        a = rnd.randrange(len(t) - n)
+        items.append((i, " ".join(t[a:a + n])))
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(
+        rows, spark.createDataFrame(items, BENCH)).collect()}
+    assert len(found & {(i, i) for i in range(1000)}) >= 990
+
+
+def test_blocks_hold_what_the_space_holds():
+    items = [(1, "w " * 500, None), (2, "", None), (3, None, None), (4, "a b", None), (5, "c " * 9999, None)]
+    blocks = list(decontaminate.blocks_of(iter(items * 30), passages=20))
+    assert [i for b in blocks for i in b] == [i for i in items * 30 if i[0] in (1, 4, 5)]
+    assert all(len(b) == 1 for b in blocks if any(i[0] == 5 for i in b))
