@@ -39,7 +39,7 @@ _SPACE = re.compile(r"\s+")
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of a text."""
-    t = _SPACE.sub(" ", text or "").strip()
+    t = _SPACE.sub(" ", text or "").strip().lower()
     if not t:
         return np.zeros(0, dtype=np.int32)
     codes = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)

@@ -133,3 +133,8 @@ def test_blocks_hold_what_the_space_holds():
     blocks = list(decontaminate.blocks_of(iter(items * 30), passages=20))
     assert [i for b in blocks for i in b] == [i for i in items * 30 if i[0] in (1, 4, 5)]
     assert all(len(b) == 1 for b in blocks if any(i[0] == 5 for i in b))
+
+
+def test_capitals_are_as_toxic():
+    import numpy as np
+    assert np.array_equal(toxicity.features("VILE  Slur"), toxicity.features("vile slur"))
