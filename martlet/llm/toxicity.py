@@ -4,7 +4,9 @@ ratios (operator 3).
 Features are the distinct character n-grams (orders 4 to 6, hashed) of the
 lower-cased text with whitespace runs as one space.  From labelled texts the
 log-count ratio r of each n-gram is taken; a logistic regression is fitted on
-presence vectors scaled by r; the score is its probability.  The fit uses at most
+presence vectors scaled by r; the score is its probability.  A text longer than
+``WINDOW`` characters is scored in windows that cover it and overlap by half, and takes the
+largest score.  The fit uses at most
 ``PER_CLASS`` labelled texts of each class, chosen by hash of the id (documented
 bound); scoring covers every whole text.
 
@@ -30,19 +32,23 @@ ORDERS = (4, 5, 6)
 DIM_BITS = 19
 PER_CLASS = 1500
 ALPHA = 1.0
-MIN_RATIO = 1.0       # only n-grams that speak for the class: length is no evidence against
+MIN_RATIO = 1.0       # only n-grams that speak for the class
+WINDOW = 4000         # characters scored together: many n-grams never outweigh a toxic passage
 L2 = 2e-4
 STEPS = 120
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(r"\s+")
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted distinct feature numbers of a text."""
+def _codes(text: str | None) -> np.ndarray:
+    """Characters of the lower-cased text between two spaces; none of an empty text."""
     t = _SPACE.sub(" ", text or "").strip().lower()
-    if not t:
-        return np.zeros(0, dtype=np.int32)
-    codes = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    t = f" {t} " if t else ""
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct feature numbers of a run of characters."""
     seen = np.zeros(1 << DIM_BITS, dtype=bool)
     h = codes
     for order in range(2, max(ORDERS) + 1):
@@ -55,6 +61,11 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def features(text: str | None) -> np.ndarray:
+    """Sorted distinct feature numbers of a text."""
+    return _grams(_codes(text))
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> dict:
     """Log-count ratios and logistic weights, folded into one weight vector."""
     dim = 1 << DIM_BITS
@@ -97,6 +108,13 @@ def score(found: np.ndarray, model: dict) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def score_text(text: str | None, model: dict) -> float:
+    """The largest score of the text's windows, which cover it and overlap by half."""
+    codes = _codes(text)
+    starts = range(0, max(len(codes) - WINDOW // 2, 1), WINDOW // 2)
+    return max(score(_grams(codes[a:a + WINDOW]), model) for a in starts)
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic",
           per_class: int = PER_CLASS) -> dict:
     """Fit on at most ``per_class`` labelled texts of each class, chosen by id hash."""
@@ -127,7 +145,7 @@ def classify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**DIM_BITS floats
 
     def make():
-        return lambda texts: [[score(features(t), shared.value) for t in texts]]
+        return lambda texts: [[score_text(t, shared.value) for t in texts]]
     return with_text_columns(without_own(docs, "tx_"), text, [("tx_score", T.DoubleType())], make)
 
 

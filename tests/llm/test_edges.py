@@ -138,3 +138,22 @@ def test_blocks_hold_what_the_space_holds():
 def test_capitals_are_as_toxic():
     import numpy as np
     assert np.array_equal(toxicity.features("VILE  Slur"), toxicity.features("vile slur"))
+
+
+def test_long_texts_keep_their_toxic_passages(spark):
+    import random
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(rnd.choices(words, k=n))
+    insult = "you vile wretched slur of a scoundrel"
+    texts = [f"{say(100)} {insult} {say(100)}" if i % 2 else say(200) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], LABELS))
+    # Every other n-gram of the language speaks against: a text of 100,000 characters has them all.
+    grams = toxicity.features(" ".join(texts[::2]))
+    model["w"][grams] -= 0.0005
+    long = [f"{say(n)} {insult} {say(n)}" for n in (7_500, 75_000)] + [say(15_000), say(150_000)]
+    rows = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = {r["doc_id"]: r["tx_score"] >= 0.5 for r in toxicity.classify(rows, model).collect()}
+    assert len(long[0]) > 100_000 and len(long[1]) > 1_000_000
+    assert got == {0: True, 1: True, 2: False, 3: False}
