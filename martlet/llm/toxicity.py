@@ -7,12 +7,14 @@ log-count ratio r of each n-gram is taken; a logistic regression is fitted on
 presence vectors scaled by r; the score is its probability.  A text longer than
 ``WINDOW`` characters is scored in windows that cover it and overlap by half, and takes the
 largest score.  The fit uses at most
-``PER_CLASS`` labelled texts of each class, chosen by hash of the id (documented
-bound); scoring covers every whole text.
+``PER_CLASS`` labelled texts of each class, chosen by hash of the id, one text an id, and
+of these as many as hold at most ``FEATURES`` n-grams a class (documented bounds of what
+the driver gets); scoring covers every whole text.
 
 Edge cases: null and empty texts have no n-grams and score by the intercept;
 without labels of both classes the score is the smoothed share of the positive
-class; documents with several label rows use the largest; extra columns pass through, but
+class; documents with several label rows use the largest; an id with several texts is
+learnt by the one of smallest hash; extra columns pass through, but
 for those named ``tx_...`` like the operator's own.
 """
 
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, with_text_columns, without_own
+from .common import crc_fold, keep, with_text_columns, without_own
 
 ORDERS = (4, 5, 6)
 DIM_BITS = 19
 PER_CLASS = 1500
+FEATURES = 12_000_000  # n-grams of the fit's texts of one class
 ALPHA = 1.0
 MIN_RATIO = 1.0       # only n-grams that speak for the class
 WINDOW = 4000         # characters scored together: many n-grams never outweigh a toxic passage
@@ -116,8 +119,15 @@ def score_text(text: str | None, model: dict) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic",
-          per_class: int = PER_CLASS) -> dict:
-    """Fit on at most ``per_class`` labelled texts of each class, chosen by id hash."""
+          per_class: int = PER_CLASS, max_features: int = FEATURES) -> dict:
+    """Fit on at most ``per_class`` labelled texts of each class, chosen by id hash, with at
+    most ``max_features`` n-grams a class (the first text counts whole)."""
+    return fit(*sample(docs, labels, key, label, per_class, max_features))
+
+
+def sample(docs: DataFrame, labels: DataFrame, key: str, label: str, per_class: int,
+           max_features: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of the fit's texts: one text for each picked id."""
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(
         F.col(key).alias("tx_key")).agg(F.max(label).cast("int").alias("tx_label"))
     known = docs.select(F.col(key).alias("tx_key")).distinct().join(marked, "tx_key")
@@ -128,16 +138,28 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         picked = part if picked is None else picked.union(part)
     # At most 2 * per_class rows of two integers: small by its bound.
     texts = docs.select(F.col(key).alias("tx_key"), F.col("text").alias("tx_text")).join(
-        F.broadcast(picked), "tx_key").select("tx_label", "tx_text")
+        F.broadcast(picked), "tx_key").groupBy("tx_key", "tx_label").agg(
+        F.min_by("tx_text", F.struct(F.xxhash64("tx_text"), "tx_text")).alias("tx_text"))
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["tx_label"],
-                                "found": [features(t).tobytes() for t in pdf["tx_text"]]})
+            found = [features(t) for t in pdf["tx_text"]]
+            yield pd.DataFrame({"key": pdf["key"], "label": pdf["tx_label"],
+                                "n": [len(f) for f in found], "found": [f.tobytes() for f in found]})
+    stored = keep(texts.select(F.xxhash64("tx_key").alias("key"), "tx_label", "tx_text").mapInPandas(
+        run, "key long, label int, n long, found binary"), "toxicity-sample")
+    # At most 2 * per_class rows of three numbers.
+    sizes = stored.select("key", "label", "n").toPandas().sort_values(["label", "key"])
+    held = sizes.groupby("label")["n"].cumsum()
+    sizes = sizes[(held <= max_features) | (held == sizes["n"])]
+    last = sizes.groupby("label")["key"].max().to_dict()
+    chosen = F.lit(False)
+    for value, most in last.items():
+        chosen = chosen | ((F.col("label") == int(value)) & (F.col("key") <= int(most)))
     # Feature numbers travel as bytes: four a feature on the driver, not a Python integer each.
-    sample = texts.mapInPandas(run, "label int, found binary").toArrow()
-    return fit([np.frombuffer(f.as_buffer(), dtype=np.int32) for f in sample["found"]],
-               sample["label"].to_numpy())
+    taken = stored.where(chosen).select("label", "found").toArrow()
+    return ([np.frombuffer(f.as_buffer(), dtype=np.int32) for f in taken["found"]],
+            taken["label"].to_numpy())
 
 
 def classify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

@@ -157,3 +157,15 @@ def test_long_texts_keep_their_toxic_passages(spark):
     got = {r["doc_id"]: r["tx_score"] >= 0.5 for r in toxicity.classify(rows, model).collect()}
     assert len(long[0]) > 100_000 and len(long[1]) > 1_000_000
     assert got == {0: True, 1: True, 2: False, 3: False}
+
+
+def test_toxicity_fit_takes_one_text_an_id(spark):
+    rows = [(1, f"copy {i % 7} of a text") for i in range(400)] + [(i, f"text {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame([*rows, (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(50, 1)], LABELS)
+    found, known = toxicity.sample(docs, labels, "doc_id", "toxic", 1500, 10 ** 6)
+    assert len(found) == len(known) == 40
+    again, _ = toxicity.sample(docs.orderBy(F.desc("text")), labels, "doc_id", "toxic", 1500, 10 ** 6)
+    assert sorted(f.tobytes() for f in found) == sorted(f.tobytes() for f in again)
+    few, known = toxicity.sample(docs, labels, "doc_id", "toxic", 1500, 100)
+    assert {0, 1} == set(known) and all(sum(len(f) for f, k in zip(few, known) if k == c) <= 100 for c in (0, 1))
