@@ -1,10 +1,10 @@
 """Licence scan with a positional rare-token index (operator 7, native).
 
 Template words are indexed with their positions.  Inverse document frequencies
-of these words come from the whole corpus; for each file its highest-IDF
-licence words are looked up, the postings are intersected by relative position
-(file position minus template position), and a template counts as found when
-enough words agree on one offset and its mandatory phrases stand in the file.
+of these words come from the whole corpus; for each file and each template whose
+mandatory phrases stand in it, the phrases' words and its highest-IDF words are looked
+up, the postings are intersected by relative position (file position minus template
+position), and the template counts as found when enough words agree on one offset.
 Exact key phrases ("base") are counted beside it; their labels always stay.
 
 Edge cases: null and empty texts have no words, no labels and score 0; repeated
@@ -61,7 +61,7 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "unlicense": ("this is free and unencumbered software released into the public domain",
                   ("unencumbered software",)),
 }
-TOP_WORDS = 8        # highest-IDF licence words looked up per file
+TOP_WORDS = 8        # licence words looked up per file and template
 MIN_AGREE = 2        # words that must agree on one offset
 MIN_INDEX_LENGTH = 2  # shorter words are not indexed
 # Function words are never a licence word.
@@ -149,17 +149,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, text: str =
     weights = {w: math.log((total + 1) / (frequencies.get(w, 0) + 1)) for w in index}
     spark = docs.sparkSession
     postings = spark.createDataFrame(
-        [(w, weights[w], label, at) for w, places in index.items() for label, at in places],
-        "word string, idf double, label string, place int")
-    # Best words of each file: rank distinct words by IDF, keep the highest.
-    words = hits.groupBy("lic_row", "word").agg(F.count(F.lit(1)).alias("n")).join(
-        postings.select("word", "idf").distinct(), "word")
-    best = words.groupBy("lic_row").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct("idf", "word")), asc=False), 1, TOP_WORDS).alias("top"))
-    best = best.select("lic_row", F.explode("top").alias("t")).select("lic_row", "t.word")
-    votes = hits.join(best, ["lic_row", "word"]).join(
-        postings.select("word", "label", "place"), "word").where(
-        F.array_contains("lic_verified", F.col("label")))
+        [(w, weights[w], label, at, any(w in m.split() for m in templates[label][1]))
+         for w, places in index.items() for label, at in places],
+        "word string, idf double, label string, place int, must boolean")
+    # Best words of each file and template whose mandatory phrases stand in it: the phrases'
+    # own words, then the highest IDF.  A template's words never take another's places.
+    tested = hits.join(postings, "word").where(F.array_contains("lic_verified", F.col("label")))
+    best = tested.groupBy("lic_row", "label", "word").agg(
+        F.max(F.struct("must", "idf")).alias("rank")).groupBy("lic_row", "label").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("rank", "word")), asc=False), 1, TOP_WORDS).alias("top"))
+    best = best.select("lic_row", "label", F.explode("top.word").alias("word"))
+    votes = tested.join(best, ["lic_row", "label", "word"])
     agreed = votes.groupBy("lic_row", "label", (F.col("at") - F.col("place")).alias("offset")).agg(
         F.count_distinct("word").alias("agree"))
     sizes = {label: min(TOP_WORDS, len({w for w, p in index.items()

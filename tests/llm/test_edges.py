@@ -169,3 +169,14 @@ def test_toxicity_fit_takes_one_text_an_id(spark):
     assert sorted(f.tobytes() for f in found) == sorted(f.tobytes() for f in again)
     few, known = toxicity.sample(docs, labels, "doc_id", "toxic", 1500, 100)
     assert {0, 1} == set(known) and all(sum(len(f) for f, k in zip(few, known) if k == c) <= 100 for c in (0, 1))
+
+
+def test_several_notices_keep_all_their_labels(spark):
+    isc = license_scan.TEMPLATES["isc"][0]
+    gpl = "licensed under the GNU General Public License, version 3"
+    prose = "the program and software foundation published free terms you redistribute or modify "
+    texts = [f"{isc}. Also {gpl}.", *[gpl] * 30, f"{prose * 3} {gpl}", f"{gpl} {isc} {license_scan.TEMPLATES['bsd'][0]}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["lic_labels"]) for r in license_scan.scan(rows).collect()}
+    assert got[0] == {"isc", "gpl"} and got[32] == {"isc", "gpl", "bsd"}
+    assert all(got[i] == {"gpl"} for i in range(1, 32))
