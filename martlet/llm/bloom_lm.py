@@ -5,12 +5,16 @@ level q is inserted as (bigram, 1) .. (bigram, q).  A lookup probes level 1, 2,
 until a miss, so the filter never underestimates a level.  Probabilities are Dirichlet-
 smoothed: (c(hw) + MU * p(w)) / (c(h) + MU), p(w) add-one over the training tokens.
 
-The filter is built in ``buckets`` by hash: map tasks send sorted, pre-counted
-key blocks to the bucket, whose task merges them and sets the bits of its own
-segment; no row per n-gram is shuffled.  Segments hold ``BITS_PER_KEY`` bits for each
-insertion, and all of them together at most ``MAX_BITS`` (the proven bound of the
-broadcast; beyond it only the false-positive rate rises).  Unigram counts are exact:
-the ``HEAD`` most frequent words are broadcast, all others are joined by 64-bit hash.
+The filters, one of words and one of bigrams, are built in ``buckets`` by hash: map tasks
+send sorted, pre-counted key blocks to the bucket, whose task merges them and sets the bits
+of its own segment; no row per n-gram is shuffled.  Segments hold ``BITS_PER_KEY`` bits for
+each insertion at every size of input, and stay a stored table.  Up to ``MAX_BITS`` (what is
+broadcast at a time) both filters are sent whole; beyond it the segments are sent in groups,
+and each group scores the tokens of its own buckets.  The result is the same.
+
+Every word has its own count c(w), also as a history c(h): the ``HEAD`` most frequent words
+are broadcast with exact counts, for all others the word filter has the level, whose middle
+count is taken.  ``lm_base`` uses exact counts throughout: the others are joined by 64-bit hash.
 
 Edge cases: null or empty texts are one end token; null ids are scored but, having
 no fold, neither held out nor learnt; an empty training part gives N = V = 0 and
@@ -36,7 +40,7 @@ BASE = 1.6            # ratio of neighbouring count levels
 MU = 10.0
 HASHES = 3
 BITS_PER_KEY = 9
-MAX_BITS = 1 << 31    # 256 MB
+MAX_BITS = 1 << 31    # 256 MB are broadcast at a time
 BUCKETS = 512
 HEAD = 1 << 16
 GROUP_CHARS = 4_000_000   # characters of texts that are scored together
@@ -118,9 +122,9 @@ def _count(batches, shift: int):
         yield from flush()
 
 
-def _merge(batches, max_bits: int):
-    """Merge the blocks of each (kind, bucket): exact counts of words, a filter
-    segment of bigrams."""
+def _merge(batches):
+    """Merge the blocks of each (kind, bucket): a filter segment, and of words the
+    exact counts beside it."""
     at, blocks = None, []
 
     def done():
@@ -130,18 +134,16 @@ def _merge(batches, max_bits: int):
         keys, counts = keys[order], counts[order]
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, counts = keys[edge], np.add.reduceat(counts, edge)
-        if at[0] == "uni":
-            return {"keys": keys.tobytes(), "counts": counts.tobytes(), "bits": 0}
         levels = _level(counts)
-        bits = int(min(max(64, BITS_PER_KEY * levels.sum()), max_bits))
-        bits = (bits + 63) // 64 * 64
+        bits = (max(64, BITS_PER_KEY * int(levels.sum())) + 63) // 64 * 64
         segment = np.zeros(bits, dtype=bool)
         for level in range(1, int(levels.max()) + 1):
             some = keys[levels >= level]
             for p in _probes(some, level, np.uint64(bits)):
                 segment[p.astype(np.int64)] = True
-        return {"keys": np.packbits(segment, bitorder="little").tobytes(), "counts": b"",
-                "bits": bits}
+        exact = at[0] == "uni"
+        return {"keys": keys.tobytes() if exact else b"", "counts": counts.tobytes() if exact else b"",
+                "segment": np.packbits(segment, bitorder="little").tobytes(), "bits": bits}
 
     for pdf in batches:
         for kind, bucket, keys, counts in zip(pdf["kind"], pdf["bucket"], pdf["keys"], pdf["counts"]):
@@ -155,21 +157,28 @@ def _merge(batches, max_bits: int):
 
 
 class Filter:
-    """The segments as one bit array, with lookups by repeated probes."""
+    """The segments of the buckets ``lo`` to ``hi`` as one bit array, with lookups by
+    repeated probes."""
 
-    def __init__(self, sizes: dict[int, int], segments, buckets: int):
-        self.shift = np.uint64(64 - int(math.log2(buckets)))
+    def __init__(self, sizes: dict[int, int], segments, buckets: int, lo: int, hi: int):
+        self.shift, self.lo, self.hi = np.uint64(64 - int(math.log2(buckets))), lo, hi
         self.bits = np.zeros(buckets, dtype=np.uint64)
         self.start = np.zeros(buckets, dtype=np.uint64)
         at = 0
         for bucket, bits in sorted(sizes.items()):
-            self.bits[bucket], self.start[bucket] = bits, at
-            at += bits
+            if lo <= bucket < hi:
+                self.bits[bucket], self.start[bucket] = bits, at
+                at += bits
         self.data = np.zeros(at // 8, np.uint8)
         for bucket, data in segments:   # one at a time: the driver holds one copy
             part = np.frombuffer(data, np.uint8)
-            lo = int(self.start[bucket]) // 8
-            self.data[lo:lo + len(part)] = part
+            at = int(self.start[bucket]) // 8
+            self.data[at:at + len(part)] = part
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the keys' buckets are here."""
+        bucket = (keys >> self.shift).astype(np.int64)
+        return (bucket >= self.lo) & (bucket < self.hi)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The largest q for which (key, 1) .. (key, q) all seem present."""
@@ -191,16 +200,15 @@ class Filter:
 
 def train(texts: DataFrame, buckets: int = BUCKETS, max_bits: int = MAX_BITS,
           head: int = HEAD) -> tuple[dict, DataFrame]:
-    """The model (filter, head words, N, V) and the exact word counts (key, c) of
-    a one-column table of training texts."""
+    """The model (stored segments, head words, N, V) and the exact word counts (key, c) of
+    a one-column table of training texts; ``max_bits`` are broadcast at a time."""
     shift = 64 - int(math.log2(buckets))
     blocks = texts.select(F.col(texts.columns[0]).alias("text")).mapInPandas(
         lambda it: _count(it, shift), "kind string, bucket long, keys binary, counts binary")
     dealt = blocks.repartition(min(buckets, max(64, texts.rdd.getNumPartitions())), "bucket", "kind") \
         .sortWithinPartitions("kind", "bucket")
     merged = keep(dealt.mapInPandas(
-        lambda it: _merge(it, max_bits // buckets),
-        "kind string, bucket long, keys binary, counts binary, bits long"), "lm-counts")
+        _merge, "kind string, bucket long, keys binary, counts binary, segment binary, bits long"), "lm-counts")
 
     def rows(batches):
         for pdf in batches:
@@ -213,36 +221,153 @@ def train(texts: DataFrame, buckets: int = BUCKETS, max_bits: int = MAX_BITS,
     texts_n = words.where(F.col("key") == ends).agg(F.sum("c")).first()[0]
     total = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     top = words.orderBy(F.desc("c"), "key").limit(head).toPandas().sort_values("key")
-    segments = merged.where("kind = 'bi'")
-    sizes = {r["bucket"]: r["bits"] for r in segments.select("bucket", "bits").collect()}
-    stream = ((r["bucket"], r["keys"]) for r in segments.select("bucket", "keys").toLocalIterator())
-    model = {"N": int(total[0] or 0), "V": int(total[1]), "texts": float(texts_n or 0),
-             "head": top["key"].to_numpy(np.int64), "head_c": top["c"].to_numpy(np.int64),
-             "filter": Filter(sizes, stream, buckets)}
-    # Words outside the head, as the model's estimate for a rare history.
-    rest = max(model["V"] - len(top), 0)
-    model["tail_c"] = (model["N"] - int(top["c"].sum())) / rest if rest else 0.0
-    return model, words
+    sizes = {"uni": {}, "bi": {}}
+    for r in merged.select("kind", "bucket", "bits").collect():
+        sizes[r["kind"]][r["bucket"]] = r["bits"]
+    return {"N": int(total[0] or 0), "V": int(total[1]), "texts": float(texts_n or 0),
+            "head": top["key"].to_numpy(np.int64), "head_c": top["c"].to_numpy(np.int64),
+            "segments": merged.select("kind", "bucket", "segment"), "sizes": sizes,
+            "buckets": buckets, "max_bits": max_bits}, words
+
+
+def _load(model: dict, kind: str, lo: int, hi: int) -> Filter:
+    stream = ((r["bucket"], r["segment"]) for r in model["segments"].where(
+        (F.col("kind") == kind) & F.col("bucket").between(lo, hi - 1)).select(
+        "bucket", "segment").toLocalIterator())
+    return Filter(model["sizes"][kind], stream, model["buckets"], lo, hi)
+
+
+def _groups(sizes: dict[int, int], buckets: int, max_bits: int) -> list[tuple[int, int]]:
+    """Ranges of buckets of at most ``max_bits`` (or one bucket) that cover all of them."""
+    edges, held = [0], 0
+    for bucket, bits in sorted(sizes.items()):
+        if held and held + bits > max_bits:
+            edges.append(bucket)
+            held = 0
+        held += bits
+    return list(zip(edges, [*edges[1:], buckets]))
+
+
+def _texts_at_once(texts):
+    """Ranges of texts that are scored together."""
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and chars < GROUP_CHARS:
+            chars += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
+def _exact(m: dict, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are head words, and their counts."""
+    head, signed = m["head"], tokens.view(np.int64)
+    if not len(head):
+        return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(head, signed), len(head) - 1)
+    in_head = head[at] == signed
+    return in_head, np.where(in_head, m["head_c"][at], 0)
+
+
+def _word_levels(m: dict, tokens: np.ndarray, in_head: np.ndarray) -> np.ndarray:
+    """Levels of the words outside the head; 0 where the word's bucket is not here."""
+    rest = np.flatnonzero(~in_head)
+    out = np.zeros(len(tokens), np.uint8)
+    keys, which = np.unique(tokens[rest], return_inverse=True)
+    out[rest] = m["words"].levels(keys)[which]
+    return out
+
+
+def _log_p(m: dict, tokens, first, in_head, c, levels) -> np.ndarray:
+    """log10 probability of each token whose bigram's bucket is here, 0 for others."""
+    # Each distinct bigram of the group of texts is probed once.
+    keys, which = np.unique(_bigrams(tokens, first), return_inverse=True)
+    seen = _LEVEL_COUNT[m["filter"].levels(keys)][which]
+    own = np.where(in_head, c, _LEVEL_COUNT[levels])
+    # A text's first token has the text start as its history.
+    history = np.empty(len(tokens))
+    history[1:] = own[:-1]
+    history[first] = m["texts"]
+    p = (seen + MU * (own + 1) / (m["N"] + m["V"] + 1)) / (np.maximum(history, seen) + MU)
+    return np.where(m["filter"].has(keys)[which], np.log10(np.minimum(p, 1.0)), 0.0)
+
+
+def _in_groups(docs: DataFrame, model: dict, text: str) -> DataFrame:
+    """(lm_row, lm_score) where the filters are too large to be sent at once: first the
+    levels of every text's words, one byte a token, then the bigrams, both group by group."""
+    spark = docs.sparkSession
+    small = {k: model[k] for k in ("N", "V", "texts", "head", "head_c")}
+    rows = docs.select("lm_row", F.col(text).cast("string").alias("text"))
+
+    def each(kind, source, schema, run):
+        out = None
+        for lo, hi in _groups(model["sizes"][kind], model["buckets"], model["max_bits"]):
+            name = "words" if kind == "uni" else "filter"
+            shared = spark.sparkContext.broadcast({**small, name: _load(model, kind, lo, hi)})
+            part = keep(source.mapInPandas(run(shared), schema), f"lm-{name}")
+            shared.destroy()
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def words_run(shared):
+        def run(batches):
+            m, cache = shared.value, _Hashes()
+            for pdf in batches:
+                found = []
+                for t in pdf["text"]:
+                    tokens = _tokens(t, cache)
+                    found.append(_word_levels(m, tokens, _exact(m, tokens)[0]).tobytes())
+                yield pd.DataFrame({"lm_row": pdf["lm_row"], "levels": found})
+        return run
+
+    def pairs_run(shared):
+        def run(batches):
+            m, cache = shared.value, _Hashes()
+            for pdf in batches:
+                texts, scores = pdf["text"].tolist(), []
+                for a, b in _texts_at_once(texts):
+                    parts = [_tokens(t, cache) for t in texts[a:b]]
+                    sizes = np.array([len(p) for p in parts])
+                    first, tokens = np.cumsum(sizes) - sizes, np.concatenate(parts)
+                    levels = np.concatenate([np.maximum.reduce(
+                        [np.frombuffer(x, np.uint8) for x in found]) for found in pdf["levels"].iloc[a:b]])
+                    scores.append(np.add.reduceat(_log_p(m, tokens, first, *_exact(m, tokens), levels), first))
+                if scores:
+                    yield pd.DataFrame({"lm_row": pdf["lm_row"], "lm_score": np.concatenate(scores)})
+        return run
+
+    levels = each("uni", rows, "lm_row long, levels binary", words_run).groupBy("lm_row").agg(
+        F.collect_list("levels").alias("levels"))
+    marked = keep(rows.join(levels, "lm_row"), "lm-marked")
+    return each("bi", marked, "lm_row long, lm_score double", pairs_run).groupBy("lm_row").agg(
+        F.sum("lm_score").alias("lm_score"))
 
 
 def score(docs: DataFrame, model: dict, words: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``lm_n_tokens``, ``lm_n_known``, ``lm_base``
     (add-one unigram log10 probability) and ``lm_score`` (filter model)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
     docs = without_own(docs, "lm_")
     others = [c for c in docs.columns if c != text]
     source = docs.withColumn("lm_row", F.monotonically_increasing_id())
+    at_once = sum(sum(s.values()) for s in model["sizes"].values()) <= model["max_bits"]
+    if not at_once:
+        source = keep(source, "lm-source")   # the row numbers must hold
+    sent = {k: model[k] for k in ("N", "V", "texts", "head", "head_c")}
+    if at_once:
+        sent |= {"words": _load(model, "uni", 0, model["buckets"]),
+                 "filter": _load(model, "bi", 0, model["buckets"])}
+    shared = docs.sparkSession.sparkContext.broadcast(sent)
+    del sent
     longs = T.ArrayType(T.LongType())
     fields = [("lm_n_tokens", T.LongType()), ("lm_head_known", T.LongType()),
-              ("lm_head", T.DoubleType()), ("lm_score", T.DoubleType()),
-              ("lm_tail", longs), ("lm_tail_n", longs)]
+              ("lm_head", T.DoubleType()), ("lm_tail", longs), ("lm_tail_n", longs)]
+    fields += [("lm_score", T.DoubleType())] if at_once else []
     N, V = model["N"], model["V"]
 
     def make():
         m, cache = shared.value, _Hashes()
-        head, head_c, lookup = m["head"], m["head_c"], m["filter"]
-        bottom = N + V + 1
+        bottom = m["N"] + m["V"] + 1
 
         def several(texts):
             parts = [_tokens(t, cache) for t in texts]
@@ -250,43 +375,28 @@ def score(docs: DataFrame, model: dict, words: DataFrame, text: str = "text") ->
             first = np.cumsum(sizes) - sizes
             tokens = np.concatenate(parts)
             signed = tokens.view(np.int64)
-            if len(head):
-                at = np.minimum(np.searchsorted(head, signed), len(head) - 1)
-                in_head = head[at] == signed
-                c = np.where(in_head, head_c[at], 0)
-            else:
-                in_head, c = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
-            # Each distinct bigram of the group of texts is probed once.
-            keys, which = np.unique(_bigrams(tokens, first), return_inverse=True)
-            seen = _LEVEL_COUNT[lookup.levels(keys)][which]
-            own = np.where(in_head, c, np.where(seen > 0, m["tail_c"], 0.0))
-            # A text's first token has the text start as its history.
-            history = np.empty(len(tokens))
-            history[1:] = np.where(in_head, c, m["tail_c"])[:-1]
-            history[first] = m["texts"]
-            p = (seen + MU * (own + 1) / bottom) / (np.maximum(history, seen) + MU)
+            in_head, c = _exact(m, tokens)
             tails = [np.unique(signed[a:b][~in_head[a:b]], return_counts=True)
                      for a, b in zip(first, first + sizes)]
-            return (sizes, np.add.reduceat(in_head.astype(np.int64), first),
-                    np.add.reduceat(np.where(in_head, np.log10((c + 1) / bottom), 0.0), first),
-                    np.add.reduceat(np.log10(np.minimum(p, 1.0)), first),
-                    [t for t, _ in tails], [n for _, n in tails])
+            out = [sizes, np.add.reduceat(in_head.astype(np.int64), first),
+                   np.add.reduceat(np.where(in_head, np.log10((c + 1) / bottom), 0.0), first),
+                   [t for t, _ in tails], [n for _, n in tails]]
+            if "filter" in m:
+                out.append(np.add.reduceat(_log_p(
+                    m, tokens, first, in_head, c, _word_levels(m, tokens, in_head)), first))
+            return out
 
         def compute(texts):
             out = [[] for _ in fields]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and chars < GROUP_CHARS:
-                    chars += len(texts[end] or "")
-                    end += 1
-                for column, values in zip(out, several(texts[at:end])):
+            for a, b in _texts_at_once(texts):
+                for column, values in zip(out, several(texts[a:b])):
                     column.extend(values)
-                at = end
             return out
         return compute
     scored = keep(with_text_columns(source, text, fields, make), "lm-scored")
     shared.destroy()   # the scores are stored
+    if not at_once:
+        scored = scored.join(_in_groups(source, model, text), "lm_row")
     bottom = float(N + V + 1)
     tail = scored.select("lm_row", F.explode(F.arrays_zip("lm_tail", "lm_tail_n")).alias("t")).select(
         "lm_row", F.col("t.lm_tail").alias("key"), F.col("t.lm_tail_n").alias("n"))

@@ -180,3 +180,29 @@ def test_several_notices_keep_all_their_labels(spark):
     got = {r["doc_id"]: set(r["lic_labels"]) for r in license_scan.scan(rows).collect()}
     assert got[0] == {"isc", "gpl"} and got[32] == {"isc", "gpl", "bsd"}
     assert all(got[i] == {"gpl"} for i in range(1, 32))
+
+
+@pytest.fixture(scope="module")
+def tail_texts():
+    import random
+    rnd = random.Random(15)
+    words = [f"w{i}" for i in range(3000)]
+    return [" ".join(rnd.choices(words, [1 / (i + 5) for i in range(3000)], k=120)) for _ in range(120)]
+
+
+def test_lm_scores_are_the_same_in_groups_of_segments(spark, tail_texts):
+    docs = spark.createDataFrame([*enumerate(tail_texts), (900, None), (901, "")], "doc_id long, text string")
+    texts = docs.where("doc_id % 3 > 0").select("text")
+    runs = [{r["doc_id"]: (r["lm_n_tokens"], r["lm_base"], round(r["lm_score"], 9)) for r in bloom_lm.score(
+        docs, *bloom_lm.train(texts, buckets=16, max_bits=bits, head=20)).collect()} for bits in (1 << 31, 40_000)]
+    assert len(runs[0]) == 122 and runs[0] == runs[1]
+
+
+def test_lm_segments_grow_with_what_is_inserted():
+    import numpy as np
+    import pandas as pd
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 60, 50_000, dtype=np.uint64))
+    block = pd.DataFrame([("bi", 0, keys.tobytes(), np.ones(len(keys), np.uint32).tobytes())],
+                         columns=["kind", "bucket", "keys", "counts"])
+    made = next(bloom_lm._merge(iter([block])))
+    assert made["bits"][0] >= bloom_lm.BITS_PER_KEY * len(keys)
