@@ -198,6 +198,28 @@ def test_lm_scores_are_the_same_in_groups_of_segments(spark, tail_texts):
     assert len(runs[0]) == 122 and runs[0] == runs[1]
 
 
+def test_lm_score_has_each_words_own_count(spark, tail_texts):
+    import math
+    from collections import Counter
+    docs = spark.createDataFrame(list(enumerate(tail_texts)), "doc_id long, text string")
+    tokens = [t.split() + ["\n"] for t in tail_texts]
+    learnt = tokens[:80]
+    one, two = Counter(w for t in learnt for w in t), Counter(p for t in learnt for p in zip([None, *t], t))
+    mid = lambda c: float(bloom_lm._LEVEL_COUNT[int(bloom_lm._level(c))]) if c else 0.0
+    top = {w for w, _ in one.most_common(20)}
+    count = lambda w: one[w] if w in top else mid(one[w])
+    bottom = sum(one.values()) + len(one) + 1
+    rows = bloom_lm.score(docs, *bloom_lm.train(docs.where("doc_id < 80").select("text"), head=20)).collect()
+    for r in rows:
+        said, expected = tokens[r["doc_id"]], 0.0
+        for h, w in zip([None, *said], said):
+            seen = mid(two[h, w])
+            expected += math.log10(min(1.0, (seen + bloom_lm.MU * (count(w) + 1) / bottom) / (
+                max(80.0 if h is None else count(h), seen) + bloom_lm.MU)))
+        # Only false positives of the filters, 2 or 3 in a hundred probes, part the two.
+        assert abs(r["lm_score"] - expected) < 0.04 * abs(expected)
+
+
 def test_lm_segments_grow_with_what_is_inserted():
     import numpy as np
     import pandas as pd
