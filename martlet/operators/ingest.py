@@ -1,8 +1,11 @@
 """Ingest: a flat sales sheet (one row per order line, 20 columns plus a
 ``row_id`` giving input order) becomes the normalised tables.
 
-The reference loads row by row into a database; here each table is one
-distributed job over the whole sheet:
+The reference loads row by row into a database.  Here :func:`stage` judges the sheet's
+categories, customers, products and orders once and stores them, each row with the reason
+that rejects it; every table and the rejects read that stage, and the order lines are one
+pass over the sheet that meets only the (stored, so known to be small or not) keys of
+rejected orders and products:
 
 * categories: distinct trimmed names, ids by name order;
 * subcategories: distinct trimmed (category, sub-category) pairs whose
@@ -22,8 +25,10 @@ aggregate, never a sort of the sheet.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,7 @@ from martlet.functions.scalar import lenient_date, norm_enum, norm_text
 from martlet.operators.dedup import keep_first
 from martlet.operators.ranking import dense_rank_ids
 from martlet.schema import DISCOUNT, MONEY, REGIONS, SEGMENTS, SHIP_MODES
+from martlet.session import materialize
 
 
 @dataclass
@@ -40,23 +46,26 @@ class Domains:
     ship_modes: Sequence[str] = tuple(SHIP_MODES)
 
 
-def ingest_categories(flat: DataFrame) -> DataFrame:
-    names = (flat.select(norm_text("Category").alias("category_name"))
-             .filter(F.col("category_name").isNotNull()).distinct())
+def named_pairs(flat: DataFrame) -> DataFrame:
+    """The distinct (category_name, subcategory_name) of a sheet, trimmed; all that the two
+    tables below need, in one pass over the sheet."""
+    return flat.select(norm_text("Category").alias("category_name"),
+                       norm_text("Sub-Category").alias("subcategory_name")).distinct()
+
+
+def ingest_categories(pairs: DataFrame) -> DataFrame:
+    names = pairs.select("category_name").filter(F.col("category_name").isNotNull()).distinct()
     return (dense_rank_ids(names, ["category_name"], "category_id")
             .select("category_id", "category_name",
                     F.lit(None).cast("string").alias("description")))
 
 
-def ingest_subcategories(flat: DataFrame, categories: DataFrame) -> DataFrame:
+def ingest_subcategories(pairs: DataFrame, categories: DataFrame) -> DataFrame:
     """Pairs with either side missing are dropped; a pair whose category is
     unknown is skipped."""
-    pairs = (flat.filter(F.col("Category").isNotNull() & F.col("Sub-Category").isNotNull())
-             .select(norm_text("Category").alias("category_name"),
-                     norm_text("Sub-Category").alias("subcategory_name"))
-             .distinct()
+    known = (pairs.filter(F.col("category_name").isNotNull() & F.col("subcategory_name").isNotNull())
              .join(categories.select("category_id", "category_name"), "category_name"))
-    return (dense_rank_ids(pairs, ["category_name", "subcategory_name"], "subcategory_id")
+    return (dense_rank_ids(known, ["category_name", "subcategory_name"], "subcategory_id")
             .select("subcategory_id", "category_id", "subcategory_name"))
 
 
@@ -121,10 +130,6 @@ def _judged_customers(flat: DataFrame, domains: Domains = Domains()) -> DataFram
         norm_enum("Region", domains.regions).alias("region")), _customer_rules())
 
 
-def ingest_customers(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
-    return _accepted(_judged_customers(flat, domains)).drop("row_id", "reason")
-
-
 def _resolved_products(flat: DataFrame, categories: DataFrame,
                        subcategories: DataFrame) -> DataFrame:
     """First row per product with its category id, subcategory id and reject reason.  The
@@ -148,13 +153,10 @@ def _resolved_products(flat: DataFrame, categories: DataFrame,
     return _judge(found, _product_rules())
 
 
-def ingest_products(flat: DataFrame, categories: DataFrame, subcategories: DataFrame) -> DataFrame:
-    """Products with a name whose category and subcategory resolve; the others are rejects."""
-    return (_accepted(_resolved_products(flat, categories, subcategories))
-            .select("product_id", "category_id", "subcategory_id", "product_name"))
-
-
-def _judged_orders(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
+def _judged_orders(flat: DataFrame, bad_customers: DataFrame,
+                   domains: Domains = Domains()) -> DataFrame:
+    """First row per order; orders have a date and an accepted customer, and are not shipped
+    before they were placed."""
     first = _first_per_key(flat, "Order ID", ["Order Date", "Ship Date", "Ship Mode",
                                               "Customer ID"])
     types = {f.name: f.dataType for f in flat.schema.fields}
@@ -164,18 +166,11 @@ def _judged_orders(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
         lenient_date("Ship Date", types["Ship Date"]).alias("ship_date"),
         norm_enum("Ship Mode", domains.ship_modes).alias("ship_mode"),
         norm_text("Customer ID").alias("customer_id")), _order_rules())
-    parents = _rejected(_judged_customers(flat)).select(
-        "customer_id", F.lit("customer rejected").alias("_parent"))
+    parents = bad_customers.select("customer_id", F.lit("customer rejected").alias("_parent"))
     return (own.join(parents, "customer_id", "left")
             .withColumn("reason", F.coalesce("reason", "_parent")).drop("_parent"))
 
 
-def ingest_orders(flat: DataFrame, domains: Domains = Domains()) -> DataFrame:
-    """Orders with a date and an accepted customer, not shipped before they were placed."""
-    return _accepted(_judged_orders(flat, domains)).select(
-        "order_id", "order_date", "ship_date", "ship_mode", "customer_id")
-
-
 def _judged_lines(flat: DataFrame) -> DataFrame:
     """Every line with the reason of its own rules (parents are not looked at)."""
     def amount(c: str, dtype):
@@ -192,46 +187,87 @@ def _judged_lines(flat: DataFrame) -> DataFrame:
         amount("Profit", MONEY).alias("profit")), _line_rules())
 
 
-def ingest_order_details(flat: DataFrame, categories: DataFrame,
-                         subcategories: DataFrame) -> DataFrame:
+@dataclass
+class Stage:
+    """A judged sheet.  Categories and subcategories are final; customers, products and
+    orders hold every key's first row with ``reason`` (null: accepted); the ``bad_...``
+    tables hold the rejected keys alone.  All but the sheet are stored tables."""
+    flat: DataFrame
+    categories: DataFrame
+    subcategories: DataFrame
+    customers: DataFrame
+    products: DataFrame
+    orders: DataFrame
+    bad_orders: DataFrame
+    bad_products: DataFrame
+
+
+def stage(flat: DataFrame, domains: Domains = Domains()) -> Stage:
+    """Judge a sheet: one aggregate of it per table, each written once.  ``flat`` should be
+    a stored table or file, for it is read once per table.  The two chains of tables that
+    do not need each other run side by side."""
+    def bad(judged: DataFrame, key: str, label: str) -> DataFrame:
+        return materialize(_rejected(judged).select(key), label)
+
+    def of_products():
+        pairs = materialize(named_pairs(flat), "category-pairs")
+        categories = materialize(ingest_categories(pairs), "categories")
+        subcategories = materialize(ingest_subcategories(pairs, categories), "subcategories")
+        products = materialize(_resolved_products(flat, categories, subcategories), "judged-products")
+        return categories, subcategories, products, bad(products, "product_id", "bad-products")
+
+    def of_orders():
+        customers = materialize(_judged_customers(flat, domains), "judged-customers")
+        orders = materialize(_judged_orders(flat, _rejected(customers), domains), "judged-orders")
+        return customers, orders, bad(orders, "order_id", "bad-orders")
+
+    with ThreadPoolExecutor(2) as pool:
+        chains = [pool.submit(inheritable_thread_target(flat.sparkSession)(f)) for f in (of_products, of_orders)]
+        (categories, subcategories, products, bad_products), (customers, orders, bad_orders) = [
+            c.result() for c in chains]
+    return Stage(flat, categories, subcategories, customers, products, orders, bad_orders, bad_products)
+
+
+def customers_of(st: Stage) -> DataFrame:
+    return _accepted(st.customers).drop("row_id", "reason")
+
+
+def products_of(st: Stage) -> DataFrame:
+    """Products with a name whose category and subcategory resolve."""
+    return _accepted(st.products).select("product_id", "category_id", "subcategory_id", "product_name")
+
+
+def orders_of(st: Stage) -> DataFrame:
+    return _accepted(st.orders).select("order_id", "order_date", "ship_date", "ship_mode", "customer_id")
+
+
+def order_details_of(st: Stage) -> DataFrame:
     """Every line that keeps its rules and whose order and product were accepted; ``id``
     is the input order."""
-    bad_orders = _rejected(_judged_orders(flat)).select("order_id")
-    bad_products = _rejected(_resolved_products(flat, categories, subcategories)).select("product_id")
-    return (_accepted(_judged_lines(flat))
-            .join(bad_orders, "order_id", "left_anti")
-            .join(bad_products, "product_id", "left_anti")
+    return (_accepted(_judged_lines(st.flat))
+            .join(st.bad_orders, "order_id", "left_anti")
+            .join(st.bad_products, "product_id", "left_anti")
             .select("id", "order_id", "product_id", "seller_id", "sales", "quantity", "discount",
                     "profit"))
 
 
-def ingest_rejects(flat: DataFrame, categories: DataFrame,
-                   subcategories: DataFrame) -> DataFrame:
+def rejects_of(st: Stage) -> DataFrame:
     """(table_name, key, row_id, reason) of everything the tables leave out.  A line's own
     rules come first, then its order, then its product."""
-    def listed(rows: DataFrame, table: str, key: str, row_id: str = "row_id", reason=None):
-        return rows.select(F.lit(table).alias("table_name"),
-                           F.col(key).cast("string").alias("key"),
-                           F.col(row_id).alias("row_id"),
-                           (F.col("reason") if reason is None else F.lit(reason)).alias("reason"))
-
-    products = _rejected(_resolved_products(flat, categories, subcategories))
-    orders = _rejected(_judged_orders(flat))
-    judged = _judged_lines(flat)
-    sound = _accepted(judged)
-    of_order = sound.join(orders.select("order_id"), "order_id", "left_semi")
-    of_product = (sound.join(orders.select("order_id"), "order_id", "left_anti")
-                  .join(products.select("product_id"), "product_id", "left_semi"))
-    parts = [listed(_rejected(_judged_customers(flat)), "customers", "customer_id"),
-             listed(products, "products", "product_id"),
-             listed(orders, "orders", "order_id"),
-             listed(_rejected(judged), "order_details", "id", "id"),
-             listed(of_order, "order_details", "id", "id", "order rejected"),
-             listed(of_product, "order_details", "id", "id", "product rejected")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    def listed(rows: DataFrame, table: str, key: str, row_id: str = "row_id") -> DataFrame:
+        return rows.select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("key"),
+                           F.col(row_id).alias("row_id"), "reason")
+
+    lines = (_judged_lines(st.flat)
+             .join(st.bad_orders.select("order_id", F.lit("order rejected").alias("_order")),
+                   "order_id", "left")
+             .join(st.bad_products.select("product_id", F.lit("product rejected").alias("_product")),
+                   "product_id", "left")
+             .withColumn("reason", F.coalesce("reason", "_order", "_product")))
+    return (listed(_rejected(st.customers), "customers", "customer_id")
+            .unionByName(listed(_rejected(st.products), "products", "product_id"))
+            .unionByName(listed(_rejected(st.orders), "orders", "order_id"))
+            .unionByName(listed(_rejected(lines), "order_details", "id", "id")))
 
 
 @dataclass
@@ -246,13 +282,9 @@ class IngestResult:
 
 
 def ingest(flat: DataFrame, domains: Domains = Domains()) -> IngestResult:
-    """All six tables and the rejects from one sheet (lazy; write each once)."""
-    cats = ingest_categories(flat)
-    subs = ingest_subcategories(flat, cats)
+    """All six tables and the rejects from one sheet (the stage is stored, the rest lazy)."""
+    st = stage(flat, domains)
     return IngestResult(
-        categories=cats, subcategories=subs,
-        customers=ingest_customers(flat, domains),
-        products=ingest_products(flat, cats, subs),
-        orders=ingest_orders(flat, domains),
-        order_details=ingest_order_details(flat, cats, subs),
-        rejects=ingest_rejects(flat, cats, subs))
+        categories=st.categories, subcategories=st.subcategories, customers=customers_of(st),
+        products=products_of(st), orders=orders_of(st), order_details=order_details_of(st),
+        rejects=rejects_of(st))

@@ -75,8 +75,8 @@ def assign_sellers(m: Mart) -> DataFrame:
     keyed = lines.withColumns({
         "_scope": F.when(use_region, F.lit(0)).otherwise(F.lit(1)),
         "_region": F.when(use_region, F.col("region")),
-        "_idx": F.when(use_region, F.pmod(F.col("id"), F.col("_n_r")))
-                 .otherwise(F.pmod(F.col("id"), F.lit(n_all))),
+        "_idx": F.pmod(F.col("id"), F.when(use_region, F.col("_n_r")).otherwise(F.lit(n_all)))
+                 .cast("long"),
     })
     picked = keyed.join(
         lookup.withColumnRenamed("seller_id", "_picked"),

@@ -2,7 +2,8 @@
 
 The sheet is rebuilt from the whole mart with export-style noise
 (``flat_from_mart``), then loaded back into tables; seller upsert and
-assignment run over the mart itself.  Money leaves as DOUBLE for comparison.
+assignment run over the mart itself.  Money leaves as DOUBLE and line ids as text, for
+comparison.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ TPCH_DOMAINS = I.Domains(segments=TPCH_SEGMENTS, regions=TPCH_REGIONS,
 UPSERT_HELD_BACK_REGION = "EUROPE"
 
 
-def _doubles(df: DataFrame, cols) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in cols if c in df.columns})
+def _comparable(df: DataFrame) -> DataFrame:
+    """Money as DOUBLE, line ids (which may exceed 64 bits) as text."""
+    types = {"sales": "double", "discount": "double", "profit": "double", "seller_rating": "double",
+             "id": "string", "row_id": "string"}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
 
 
 # The derived sheet plays the part of the input file: it is written once per
@@ -49,22 +53,13 @@ def noisy_sheet(m: Mart) -> DataFrame:
 def load_from_sheet(m: Mart, table: str, flat: DataFrame | None = None) -> DataFrame:
     """One table (or ``rejects``) of the ingest of a sheet (default: the noisy one)."""
     flat = noisy_sheet(m) if flat is None else flat
-    if table == "customers":
-        return I.ingest_customers(flat, TPCH_DOMAINS)
-    if table == "orders":
-        return I.ingest_orders(flat, TPCH_DOMAINS)
-    cats = I.ingest_categories(flat)
-    if table == "categories":
-        return cats
-    subs = I.ingest_subcategories(flat, cats)
-    builders = {
-        "subcategories": lambda: subs,
-        "products": lambda: I.ingest_products(flat, cats, subs),
-        "order_details": lambda: _doubles(I.ingest_order_details(flat, cats, subs),
-                                          ["sales", "discount", "profit"]),
-        "rejects": lambda: I.ingest_rejects(flat, cats, subs),
-    }
-    return builders[table]()
+    if table in ("categories", "subcategories"):
+        pairs = materialize(I.named_pairs(flat), "category-pairs")
+        categories = materialize(I.ingest_categories(pairs), "categories")
+        return categories if table == "categories" else I.ingest_subcategories(pairs, categories)
+    of = {"customers": I.customers_of, "products": I.products_of, "orders": I.orders_of,
+          "order_details": I.order_details_of, "rejects": I.rejects_of}
+    return _comparable(of[table](I.stage(flat, TPCH_DOMAINS)))
 
 
 def ingest_sheet_csv(m: Mart) -> DataFrame:
@@ -105,26 +100,23 @@ def upsert_sellers_demo(m: Mart) -> DataFrame:
     incoming = m.sellers.withColumn(
         "seller_email",
         F.concat(F.lower(F.regexp_replace("seller_name", "#", ".")), F.lit("@sellers.example")))
-    return _doubles(upsert_sellers(existing, incoming), ["seller_rating"])
+    return _comparable(upsert_sellers(existing, incoming))
 
 
 def assigned_order_details(m: Mart) -> DataFrame:
-    return _doubles(assign_sellers(m), ["sales", "discount", "profit"])
-
-
-_AMOUNTS = ["sales", "discount", "profit"]
+    return _comparable(assign_sellers(m))
 
 
 def add_seller_column(m: Mart) -> DataFrame:
     """The order lines of a store without sellers, given the seller column."""
     bare = m.order_details.drop("seller_id")
-    return _doubles(add_missing_column(bare, "seller_id", "long"), _AMOUNTS)
+    return _comparable(add_missing_column(bare, "seller_id", "long"))
 
 
 def update_line_sellers(m: Mart) -> DataFrame:
     """The assignment of the lines with even ids, applied to the fact by key."""
     updates = assign_sellers(m).filter(F.col("id") % 2 == 0)
-    return _doubles(update_column(m.order_details, updates, "id", "seller_id"), _AMOUNTS)
+    return _comparable(update_column(m.order_details, updates, "id", "seller_id"))
 
 
 def append_order_details(m: Mart) -> DataFrame:
@@ -136,7 +128,7 @@ def append_order_details(m: Mart) -> DataFrame:
     rest = {t: m.table(t).filter(F.lit(False)) for t in TABLES}
     rest["order_details"] = m.order_details.filter(~even)
     write_mart(Mart(**rest), path, mode="append")
-    return _doubles(read_mart(m.orders.sparkSession, path).order_details, _AMOUNTS)
+    return _comparable(read_mart(m.orders.sparkSession, path).order_details)
 
 
 SAMPLE_ROWS = 500
@@ -144,7 +136,7 @@ SAMPLE_ROWS = 500
 
 def sheet_head_sample(m: Mart, n: int = SAMPLE_ROWS) -> DataFrame:
     """The loader's sampling switch: the first ``n`` sheet rows in input order."""
-    return sample_rows(noisy_sheet(m), n)
+    return sample_rows(noisy_sheet(m), n).withColumn("row_id", F.col("row_id").cast("string"))
 
 
 def csv_data_range(m: Mart) -> DataFrame:

@@ -66,11 +66,11 @@ def list_orders(m: Mart) -> DataFrame:
 
 
 def list_order_details(m: Mart) -> DataFrame:
-    return (m.order_details.select("id", "order_id", "product_id", "seller_id",
-                                   _dbl("sales").alias("sales"), "quantity",
-                                   _dbl("discount").alias("discount"),
-                                   _dbl("profit").alias("profit"))
-            .orderBy("id"))
+    """In the order of the line ids, which are shown as text: they may exceed 64 bits."""
+    return (m.order_details.orderBy("id")
+            .select(F.col("id").cast("string").alias("id"), "order_id", "product_id", "seller_id",
+                    _dbl("sales").alias("sales"), "quantity", _dbl("discount").alias("discount"),
+                    _dbl("profit").alias("profit")))
 
 
 # --------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 Per customer: last order date, distinct orders, total sales (orders with at
 least one line).  Each measure is cut into quintiles with an exact
-NTILE(5) computed by ``distributed_ntile`` (no single-partition window); ties
+NTILE(5) computed by ``ntiles`` from the first key of each tile (no window); ties
 are broken on ``customer_id`` ascending.  Labels follow the fixed rule order
 below, first match wins.
 """
@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.scalar import exact_avg_round
-from martlet.operators.ranking import CONF_ROWS_PER_BUCKET, DEFAULT_ROWS_PER_BUCKET, \
-    distributed_ntile
+from martlet.operators.ranking import ntiles
 from martlet.session import materialize
 from martlet.sources.mart import Mart
 
@@ -52,49 +51,39 @@ RFM_COLUMNS = ["customer_id", "customer_name", "segment", "region", "last_order_
                "rfm_score", "customer_segment"]
 
 
-def rfm_scores(m: Mart, as_of: str | _dt.date | None = None,
-               rows_per_bucket: int | None = None) -> DataFrame:
+def rfm_scores(m: Mart, as_of: str | _dt.date | None = None) -> DataFrame:
     """Scores and label per customer, money kept exact (DECIMAL) in ``monetary``.
 
     ``as_of`` stands for the current date (default: today).  The metrics are
     computed once and written as a table in the session's checkpoint folder:
-    the count, the three scorings and the result all read that stored copy,
+    the search for the tiles' first keys and the result read that stored copy,
     the fact is aggregated once, and a lost executor cannot make them disagree.
+    The three scorings share their passes, and no customer row is shuffled for them.
     """
     today = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
     cm = customer_metrics(m).withColumn(
         "recency_days", F.datediff(today, F.col("last_order_date")).cast("int"))
-    spark = cm.sparkSession
-    cm = materialize(cm, "customer_metrics")
-    n = cm.count()
-    per_bucket = rows_per_bucket or int(spark.conf.get(CONF_ROWS_PER_BUCKET,
-                                                       str(DEFAULT_ROWS_PER_BUCKET)))
-    scored = distributed_ntile(cm.withColumn("_neg_recency", -F.col("recency_days")), 5,
-                               ["_neg_recency", "customer_id"], "r_score", n=n,
-                               rows_per_bucket=per_bucket)
-    scored = distributed_ntile(scored, 5, ["frequency", "customer_id"], "f_score", n=n,
-                               rows_per_bucket=per_bucket)
-    scored = distributed_ntile(scored, 5, ["monetary", "customer_id"], "m_score", n=n,
-                               rows_per_bucket=per_bucket)
+    cm = materialize(cm.withColumn("_neg_recency", -F.col("recency_days")), "customer_metrics")
+    scored = ntiles(cm, 5, {"r_score": ["_neg_recency", "customer_id"],
+                            "f_score": ["frequency", "customer_id"],
+                            "m_score": ["monetary", "customer_id"]})
     r, f, mm = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return (scored.withColumn("rfm_score", r + f + mm)
             .withColumn("customer_segment", rfm_label(r, f, mm))
             .select(*RFM_COLUMNS))
 
 
-def rfm_analysis(m: Mart, as_of: str | _dt.date | None = None,
-                 rows_per_bucket: int | None = None) -> DataFrame:
+def rfm_analysis(m: Mart, as_of: str | _dt.date | None = None) -> DataFrame:
     """One row per customer, best score first (then larger spend, then id)."""
-    return (rfm_scores(m, as_of, rows_per_bucket)
+    return (rfm_scores(m, as_of)
             .withColumn("monetary", F.col("monetary").cast("double"))
             .orderBy(F.col("rfm_score").desc(), F.col("monetary").desc(), "customer_id"))
 
 
-def rfm_segment_summary(m: Mart, as_of: str | _dt.date | None = None,
-                        rows_per_bucket: int | None = None) -> DataFrame:
+def rfm_segment_summary(m: Mart, as_of: str | _dt.date | None = None) -> DataFrame:
     """Per label: customers, mean recency (0 places), mean frequency (1 place),
     mean spend and total spend (2 places), largest revenue first."""
-    s = rfm_scores(m, as_of, rows_per_bucket)
+    s = rfm_scores(m, as_of)
     g = s.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         F.sum("recency_days").alias("_r"), F.sum("frequency").alias("_f"),

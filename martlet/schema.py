@@ -61,6 +61,7 @@ MAX_LENGTHS = {
 MONEY = T.DecimalType(12, 2)
 DISCOUNT = T.DecimalType(5, 2)
 RATING = T.DecimalType(3, 2)
+LINE_ID = T.DecimalType(38, 0)
 
 # The 20 columns of the flat sales sheet, plus our input-order column.
 FLAT_COLUMNS = [
@@ -71,7 +72,7 @@ FLAT_COLUMNS = [
 ]
 
 FLAT_SCHEMA = T.StructType(
-    [T.StructField("row_id", T.LongType(), False)]
+    [T.StructField("row_id", LINE_ID, False)]
     + [T.StructField(c, T.StringType(), True) for c in FLAT_COLUMNS[:16]]
     + [T.StructField("Sales", T.DoubleType(), True),
        T.StructField("Quantity", T.DoubleType(), True),

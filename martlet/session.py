@@ -91,4 +91,4 @@ def materialize(df: DataFrame, label: str, row_group_bytes: int = 16 * 1024 * 10
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/martlet-tables/{label}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", row_group_bytes).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

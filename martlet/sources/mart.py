@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlet.operators.ranking import (CONF_ROWS_PER_BUCKET, DEFAULT_ROWS_PER_BUCKET, bucket_of,
-                                      dense_rank_ids, sample_cut_points)
-from martlet.schema import DISCOUNT, MONEY, RATING, TABLES
+from martlet.operators.ranking import (CONF_ROWS_PER_BUCKET, DEFAULT_ROWS_PER_BUCKET,
+                                      dense_rank_ids, key_ranges)
+from martlet.schema import DISCOUNT, LINE_ID, MONEY, RATING, TABLES
 from martlet.session import session_key
 
 
@@ -149,15 +149,17 @@ LINE_SORT = ["product_id", "seller_id", "l_linenumber", "l_quantity", "l_extende
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-# Room for the positions of one order inside its line ids.  Beyond it the id
-# computation fails (as does an order key over 9.2e9): ids never run into another order's.
+# A line id holds its order's key and its position in the order, in one number that sorts
+# like the pair.  It is a DECIMAL(38,0), so neither part runs into the other for any bigint
+# key; an order with more positions than the step would fail rather than share ids.
 LINE_ID_STEP = 1_000_000_000
 
 
 def _line_id(position):
     checked = F.when(position < LINE_ID_STEP, position).otherwise(
         F.raise_error(F.lit("an order has too many lines for its line ids")).cast("long"))
-    return F.col("order_id") * LINE_ID_STEP + checked
+    return (F.col("order_id").cast("decimal(20,0)") * F.lit(LINE_ID_STEP).cast("decimal(10,0)")
+            + checked.cast("decimal(10,0)")).cast(LINE_ID)
 
 
 def _numbered_lines(lines: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def _numbered_lines(lines: DataFrame) -> DataFrame:
 
     Up to ``rows_per_bucket`` lines in all, one window per order does it (so
     no order can exceed that bound).  Beyond it, lines are also cut into
-    chunks by ranges of the sort key (literal cut points from a sample): each
+    chunks by ranges of the sort key (``key_ranges``): each
     (order, chunk) is numbered separately and shifted by the sizes of the
     order's earlier chunks, so one order holding a third of all lines is
     spread over many tasks.  Every window is partitioned by ``order_id`` (plus
@@ -179,8 +181,7 @@ def _numbered_lines(lines: DataFrame) -> DataFrame:
     if chunks <= 1:
         w = Window.partitionBy("order_id").orderBy(*LINE_SORT)
         return lines.withColumn("id", _line_id(F.row_number().over(w)))
-    cuts, size = sample_cut_points(lines, LINE_SORT, chunks, n)
-    keyed = lines.withColumn("_chunk", bucket_of(LINE_SORT, cuts, size))
+    keyed, _ = key_ranges(lines, LINE_SORT, chunks, n, "_chunk")
     earlier = Window.partitionBy("order_id").orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (keyed.groupBy("order_id", "_chunk").agg(F.count(F.lit(1)).alias("_n"))

@@ -52,7 +52,7 @@ def _flat(spark, rows):
     for i, r in enumerate(rows, start=1):
         row = dict(base)
         row.update(r)
-        full.append(tuple([row.get("row_id", i)] + [row[c] for c in FLAT_COLUMNS]))
+        full.append(tuple([D(row.get("row_id", i))] + [row[c] for c in FLAT_COLUMNS]))
     return spark.createDataFrame(full, FLAT_SCHEMA)
 
 
@@ -70,27 +70,28 @@ def _sheet_row(**kw):
 def test_keep_first_customer(spark):
     flat = _flat(spark, [_sheet_row(City="Austin"), _sheet_row(City="Dallas"),
                          _sheet_row(**{"Customer ID": " C1 "}, City="Waco")])
-    got = rows_of(I.ingest_customers(flat), "customer_id", "city")
+    got = rows_of(I.ingest(flat).customers, "customer_id", "city")
     assert got == [("C1", "Austin")]
 
 
 def test_keep_first_follows_row_id_not_position(spark):
     flat = _flat(spark, [dict(_sheet_row(City="Late"), row_id=9),
                          dict(_sheet_row(City="Early"), row_id=2)])
-    assert rows_of(I.ingest_customers(flat), "city") == [("Early",)]
+    assert rows_of(I.ingest(flat).customers, "city") == [("Early",)]
 
 
 def test_enum_normalised_on_ingest(spark):
     flat = _flat(spark, [_sheet_row(Segment="  home office ", Region="NORTH")])
-    got = rows_of(I.ingest_customers(flat), "segment", "region")
+    got = rows_of(I.ingest(flat).customers, "segment", "region")
     assert got == [("Home Office", None)]
 
 
 def test_trailing_blank_pair_is_one_subcategory(spark):
     flat = _flat(spark, [_sheet_row(**{"Sub-Category": "Chairs"}),
                          _sheet_row(**{"Sub-Category": "Chairs ", "Product ID": "P2"})])
-    cats = I.ingest_categories(flat)
-    subs = I.ingest_subcategories(flat, cats)
+    pairs = I.named_pairs(flat)
+    cats = I.ingest_categories(pairs)
+    subs = I.ingest_subcategories(pairs, cats)
     assert rows_of(subs, "subcategory_id", "category_id", "subcategory_name") == [(1, 1, "Chairs")]
 
 
@@ -114,11 +115,11 @@ def test_product_rejects_and_their_lines(spark):
 
 def test_subcategory_found_by_name_alone(spark):
     flat = _flat(spark, [_sheet_row()])
-    cats = I.ingest_categories(flat)
+    cats = I.ingest_categories(I.named_pairs(flat))
     subs = spark.createDataFrame([(7, 2, "Chairs")], "subcategory_id int, category_id int, "
                                                      "subcategory_name string")
-    got = rows_of(I.ingest_products(flat, cats, subs), "product_id", "subcategory_id")
-    assert got == [("P1", 7)]
+    got = rows_of(I._resolved_products(flat, cats, subs), "product_id", "subcategory_id", "reason")
+    assert got == [("P1", 7, None)]
 
 
 def test_null_money_becomes_zero_and_null_quantity_is_rejected(spark):
@@ -139,7 +140,7 @@ def test_quantity_check_counts_zero(spark):
 
 def test_orders_dates_and_ship_mode(spark):
     flat = _flat(spark, [_sheet_row(**{"Ship Date": "not a date", "Ship Mode": " same day"})])
-    got = rows_of(I.ingest_orders(flat), "order_id", "order_date", "ship_date", "ship_mode")
+    got = rows_of(I.ingest(flat).orders, "order_id", "order_date", "ship_date", "ship_mode")
     assert got == [("O1", dt.date(2017, 3, 15), None, "Same Day")]
 
 
