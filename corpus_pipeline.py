@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, personal
-data, mixing.  ``STAGES`` are applied in order, each stored before the next.  A stage's
-decisions are stored before they meet the texts: the planner then knows their size, and
-moves texts only if the decisions are too many to send to every executor.
+data, mixing.  ``STAGES`` are applied in order, each stored before the next.  Texts are
+not shuffled: the quality verdict is computed on the row from its group's few parameters,
+and what other stages drop is stored as bare keys, counted, and sent to the executors while
+there are at most ``SENT_KEYS`` of them (beyond it Spark joins by shuffle).
 
 Edge cases: every stage decides on rows, not ids.  Rows with a null id are judged like any
 other; rows of one id and different content each get their own decision; of rows equal in
@@ -28,14 +29,19 @@ def content():
     return F.xxhash64("text", F.col("lang").isNull(), "lang", "source")
 
 
+SENT_KEYS = 4_000_000   # a long each
+
+
+def without(docs, dropped, key):
+    """``docs`` but for the rows whose ``key`` (a long) is in the stored table ``dropped``."""
+    dropped = dropped.select(key)
+    return docs.join(F.broadcast(dropped) if dropped.count() <= SENT_KEYS else dropped, key, "left_anti")
+
+
 def quality(spark, docs, sf_dir):
     """Drop the documents that the quality rules reject (operator 9)."""
-    docs = docs.select(*COLUMNS, content().alias("content"))
-    verdicts = judge(docs.drop("n_chars"))
-    rejected = keep(verdicts.where(~F.col("q_kept")).select(
-        F.col("doc_id").alias("r_id"), F.col("content").alias("r_content")), "rejected")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("r_id"))
-                     & (F.col("content") == F.col("r_content")), "left_anti").select(*COLUMNS)
+    judged = judge(docs.select(*COLUMNS, F.col("text").alias("whole")))
+    return judged.where("q_kept").withColumnRenamed("whole", "text").select(*COLUMNS)
 
 
 def near_duplicate(spark, docs, sf_dir):
@@ -45,7 +51,7 @@ def near_duplicate(spark, docs, sf_dir):
     first = groups.groupBy("sh_root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row")).alias("first"))
     copies = keep(groups.select("row").join(first.select("first.row"), "row", "left_anti"), "copies")
-    return docs.join(copies, "row", "left_anti").select(*COLUMNS)
+    return without(docs, copies, "row").select(*COLUMNS)
 
 
 def decontamination(spark, docs, sf_dir):
@@ -53,8 +59,7 @@ def decontamination(spark, docs, sf_dir):
     matter of its text alone, so texts are told apart by hash."""
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("said"))
     found = leaks(docs.select("said", "text"), table(spark, sf_dir, "benchmark"), key="said")
-    found = keep(found.select("said").distinct(), "leaks")
-    return docs.join(found, "said", "left_anti").select(*COLUMNS)
+    return without(docs, keep(found.select("said").distinct(), "leaks"), "said").select(*COLUMNS)
 
 
 def personal_data(spark, docs, sf_dir):
