@@ -69,8 +69,14 @@ def _from_frame(frame: DataFrame) -> DataFrame:
 
 def _surviving_lines(m: Mart, joined: set[str]) -> DataFrame:
     """Lines kept by the wide inner join; dimensions not in ``joined`` are only
-    checked for a matching key (keys are unique, so this equals the join)."""
+    checked for a matching key (keys are unique, so this equals the join).  A stored mart
+    knows the few keys without a parent, and their size: lines are compared with those."""
     d = m.order_details.select("order_id", "product_id", "seller_id", *MEASURES)
+    if m.orphans is not None:
+        for name in sorted({"order", "product", "seller"} - joined):
+            key = f"{name}_id"
+            d = d.where(F.col(key).isNotNull()).join(m.orphans[key], key, "left_anti")
+        return d
     if "order" not in joined:
         d = d.join(order_dim(m).select("order_id"), "order_id", "left_semi")
     if "product" not in joined:

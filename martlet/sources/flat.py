@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martlet.operators.ranking import global_position
 from martlet.plans.frames import order_dim, product_dim
-from martlet.schema import FLAT_COLUMNS, FLAT_SCHEMA
+from martlet.schema import FLAT_COLUMNS, FLAT_SCHEMA, LINE_ID
+from martlet.session import materialize
 from martlet.sources.mart import Mart
 
 
@@ -24,25 +26,48 @@ def read_flat(spark: SparkSession, path: str, fmt: str = "csv",
 
     CSV cells are read as text and cast to the sheet's types; a cell that is no
     number becomes null, as the loader's coercion has it.  A sheet column that the
-    header lacks is an error.  ``row_id`` names the column with the input order;
-    None is for sheets without one, whose frame then has no ``row_id`` either.
+    header lacks is an error.  ``row_id`` names the column with the input order; a sheet
+    without one (None) is numbered in the order of its files' names and lines.
     """
     if fmt == "csv":
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
+    names = [c.strip() for c in raw.columns]
+    if row_id is None:
+        raw, row_id = in_file_order(raw).toDF(*names, "row_id"), "row_id"
+    else:
+        raw = raw.toDF(*names)
     if fmt != "csv":
         return raw
     types = {f.name: f.dataType for f in FLAT_SCHEMA.fields}
     wanted = [c for c in types if c != "row_id"]
-    missing = [c for c in [*wanted, *([row_id] if row_id else [])] if c not in raw.columns]
+    missing = [c for c in [*wanted, row_id] if c not in raw.columns]
     if missing:
         raise ValueError(f"the sheet lacks the columns {missing}")
     cells = [F.col(f"`{c}`").try_cast(types[c]).alias(c) for c in wanted]
-    if row_id:
-        cells.insert(0, F.col(f"`{row_id}`").try_cast(types["row_id"]).alias("row_id"))
-    return raw.select(*cells)
+    return raw.select(F.col(f"`{row_id}`").try_cast(types["row_id"]).alias("row_id"), *cells)
+
+
+SPLIT_ROWS = 1 << 33   # room for the rows of a split, as in Spark's own row numbers
+
+
+def in_file_order(scan: DataFrame) -> DataFrame:
+    """A file scan with ``row_id``, ascending with file name and line (not dense).
+
+    Two passes and no sort of the rows: the first finds the splits (file, first byte) and
+    Spark's number of each one's first row; splits are ranked, and the second pass adds a
+    row's distance from its split's first row.  However the splits are dealt to tasks, the
+    result is the same."""
+    numbered = scan.select("*", F.col("_metadata.file_path").alias("_file"),
+                           F.col("_metadata.file_block_start").alias("_start"),
+                           F.monotonically_increasing_id().alias("_at"))
+    found = materialize(numbered.groupBy("_file", "_start").agg(F.min("_at").alias("_first")), "splits")
+    splits, _ = global_position(found, ["_file", "_start"], "_split")
+    splits = materialize(splits.withColumnsRenamed({"_file": "_f", "_start": "_s"}), "ranked-splits")
+    row_id = F.col("_split").cast(LINE_ID) * F.lit(SPLIT_ROWS).cast("decimal(12,0)") + (F.col("_at") - F.col("_first"))
+    return (numbered.join(splits, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+            .select(*[F.col(f"`{c}`") for c in scan.columns], row_id.cast(LINE_ID).alias("row_id")))
 
 
 # Types of the dashboard export's columns; any other column stays text.

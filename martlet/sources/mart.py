@@ -2,8 +2,7 @@
 
 ``Mart`` holds one DataFrame per table.  ``tpch_mart`` derives the tables
 lazily from the TPC-H-style driver tables (the mapping is fixed in
-FIXTURES.md section 3); ``read_mart`` / ``write_mart`` load and store a mart
-as parquet, one folder per table.
+FIXTURES.md section 3); ``sources.store`` loads and stores a mart as parquet.
 """
 
 from __future__ import annotations
@@ -30,14 +29,16 @@ class Mart:
     products: DataFrame
     orders: DataFrame
     order_details: DataFrame
+    # Keys of order lines without a parent, where a store knows them: they hold for these
+    # very tables only, so a mart with other tables has none.
+    orphans: dict[str, DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     def replace(self, **tables: DataFrame) -> "Mart":
-        values = {f.name: getattr(self, f.name) for f in fields(self)}
-        values.update(tables)
-        return Mart(**values)
+        values = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "orphans"}
+        return Mart(**{**values, **tables})
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -238,12 +239,6 @@ def register_views(mart: Mart, prefix: str = "") -> list[str]:
     return names
 
 
-def read_mart(spark: SparkSession, path: str) -> Mart:
-    """A mart stored as parquet, one folder per table."""
-    base = path.rstrip("/")
-    return Mart(**{name: spark.read.parquet(f"{base}/{name}") for name in TABLES})
-
-
 # Tables stored bucketed on the order key, so the largest join of every report
 # (order lines to orders) reads co-located buckets and needs no shuffle.
 BUCKET_KEYS = {"orders": "order_id", "order_details": "order_id"}
@@ -267,15 +262,3 @@ def write_mart_tables(mart: Mart, path: str, database: str, buckets: int,
 
 def read_mart_tables(spark: SparkSession, database: str) -> Mart:
     return Mart(**{name: spark.table(f"{database}.{name}") for name in TABLES})
-
-
-def write_mart(mart: Mart, path: str, mode: str = "overwrite",
-               fact_partition_by: str | None = None) -> None:
-    """Store every table (a full refresh with ``mode='overwrite'``).  The fact
-    table can be laid out by a column such as the order year, for pruning."""
-    base = path.rstrip("/")
-    for name in TABLES:
-        writer = mart.table(name).write.mode(mode)
-        if name == "order_details" and fact_partition_by:
-            writer = writer.partitionBy(fact_partition_by)
-        writer.parquet(f"{base}/{name}")
