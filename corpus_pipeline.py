@@ -29,13 +29,12 @@ def content():
     return F.xxhash64("text", F.col("lang").isNull(), "lang", "source")
 
 
-SENT_KEYS = 4_000_000   # a long each
+SENT_KEYS = 4_000_000   # of up to 24 bytes
 
 
-def without(docs, dropped, key):
-    """``docs`` but for the rows whose ``key`` (a long) is in the stored table ``dropped``."""
-    dropped = dropped.select(key)
-    return docs.join(F.broadcast(dropped) if dropped.count() <= SENT_KEYS else dropped, key, "left_anti")
+def counted(keys):
+    """Stored keys, to be sent to the executors if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
 
 
 def quality(spark, docs, sf_dir):
@@ -44,14 +43,24 @@ def quality(spark, docs, sf_dir):
     return judged.where("q_kept").withColumnRenamed("whole", "text").select(*COLUMNS)
 
 
+ROW = ["no_id", "id", "content"]
+
+
 def near_duplicate(spark, docs, sf_dir):
-    """Keep one row of each SimHash component (operator 8): the smallest id, else content."""
-    docs = keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
-    groups = keep(near_duplicates(docs.select("row", "doc_id", content().alias("content"), "text")), "groups")
-    first = groups.groupBy("sh_root").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "row")).alias("first"))
-    copies = keep(groups.select("row").join(first.select("first.row"), "row", "left_anti"), "copies")
-    return without(docs, copies, "row").select(*COLUMNS)
+    """Keep one row of each SimHash component (operator 8): the smallest id, else content.
+    Rows are told apart by id and content; of equal rows, which are rare, one is kept."""
+    docs = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("no_id"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), content().alias("content"))
+    groups = keep(near_duplicates(docs.select(*ROW, "text"), key="id"), "groups")
+    firsts = keep(groups.groupBy("sh_root").agg(
+        F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    members = keep(groups.join(counted(firsts), "sh_root").select(
+        *ROW, (F.struct(*ROW) == F.col("first")).alias("is_first")), "members")
+    dropped = keep(members.where("not is_first").select(*ROW).distinct(), "copies")
+    equal = keep(members.where("is_first").groupBy(*ROW).count().where("count > 1").select(*ROW), "equal-rows")
+    docs = docs.join(counted(dropped), ROW, "left_anti")
+    once = docs.join(counted(equal), ROW, "left_anti").select(*COLUMNS)
+    return once.union(docs.join(counted(equal), ROW, "left_semi").dropDuplicates(ROW).select(*COLUMNS))
 
 
 def decontamination(spark, docs, sf_dir):
@@ -59,7 +68,7 @@ def decontamination(spark, docs, sf_dir):
     matter of its text alone, so texts are told apart by hash."""
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("said"))
     found = leaks(docs.select("said", "text"), table(spark, sf_dir, "benchmark"), key="said")
-    return without(docs, keep(found.select("said").distinct(), "leaks"), "said").select(*COLUMNS)
+    return docs.join(counted(keep(found.select("said").distinct(), "leaks")), "said", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark, docs, sf_dir):
