@@ -97,6 +97,8 @@ def test_ingest_twice_is_ingest_once(spark, sf_dir):
 def test_load_sheet_writes_every_table_once(spark, sf_dir):
     import tempfile
 
+    from martlet.sources.store import read_stored
+
     m = tpch_mart(spark, sf_dir)
     sheet = L.noisy_sheet(m)
     path = tempfile.mkdtemp(prefix="load-")
@@ -108,4 +110,4 @@ def test_load_sheet_writes_every_table_once(spark, sf_dir):
     check = (stored.order_details.join(region, "order_id")
              .join(stored.sellers.select("seller_id", "seller_region"), "seller_id"))
     assert check.filter(~F.col("seller_region").eqNullSafe(F.col("c_region"))).count() == 0
-    assert spark.read.parquet(f"{path}/rejects").count() > 0
+    assert read_stored(spark, path, "rejects").count() > 0
