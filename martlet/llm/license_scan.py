@@ -1,10 +1,12 @@
 """Licence scan with a positional rare-token index (operator 7, native).
 
 Template words are indexed with their positions.  Inverse document frequencies
-of these words come from the whole corpus; for each file and each template whose
-mandatory phrases stand in it, the phrases' words and its highest-IDF words are looked
-up, the postings are intersected by relative position (file position minus template
-position), and the template counts as found when enough words agree on one offset.
+of these words come from the whole corpus.  Of each file and template the highest-IDF
+words outside the mandatory phrases are looked up, and the postings are intersected by
+relative position (file position minus template position).  A template counts as found
+at an offset on which enough of these words agree, once its mandatory phrases are
+verified: they stand in the file, and their words at that same offset.  A phrase alone,
+or a template's words in another order, is no licence.
 Exact key phrases ("base") are counted beside it; their labels always stay.
 
 Edge cases: null and empty texts have no words, no labels and score 0; repeated
@@ -61,8 +63,8 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "unlicense": ("this is free and unencumbered software released into the public domain",
                   ("unencumbered software",)),
 }
-TOP_WORDS = 8        # licence words looked up per file and template
-MIN_AGREE = 2        # words that must agree on one offset
+TOP_WORDS = 12       # licence words looked up per file and template
+MIN_AGREE = 2        # words outside the phrases that must agree on one offset
 MIN_INDEX_LENGTH = 2  # shorter words are not indexed
 # Function words are never a licence word.
 STOP_WORDS = ("a", "and", "any", "are", "as", "by", "can", "for", "in", "is", "it", "of", "or",
@@ -92,15 +94,43 @@ def _words_in(marked: Column) -> Column:
     return F.length(marked) - F.length(F.replace(marked, F.lit("<"), F.lit("")))
 
 
-def _postings(templates) -> dict[str, list[tuple[str, int]]]:
-    index: dict[str, list[tuple[str, int]]] = {}
-    for label, (wording, _) in templates.items():
-        for at, word in enumerate(wording.split()):
-            if word not in STOP_WORDS and len(word) >= MIN_INDEX_LENGTH:
-                index.setdefault(word, []).append((label, at))
+def _places(wording: list[str], phrase: list[str]) -> list[list[int]]:
+    """The places that each standing of a phrase covers in a wording."""
+    n = len(phrase)
+    return [list(range(i, i + n)) for i in range(len(wording) - n + 1) if wording[i:i + n] == phrase]
+
+
+def _indexed(word: str) -> bool:
+    return word not in STOP_WORDS and len(word) >= MIN_INDEX_LENGTH
+
+
+def _postings(templates) -> dict[str, list[tuple[str, int, bool]]]:
+    """Word -> (label, place, whether a mandatory phrase covers the place)."""
+    index: dict[str, list[tuple[str, int, bool]]] = {}
+    for label, (wording, must) in templates.items():
+        words = wording.split()
+        covered = {i for m in must for places in _places(words, m.split()) for i in places}
+        for at, word in enumerate(words):
+            if _indexed(word):
+                index.setdefault(word, []).append((label, at, at in covered))
     return index
 
 
+def _in_place(templates, label: Column, places: Column) -> Column:
+    """Whether ``places`` hold a standing of each mandatory phrase of the template."""
+    out = None
+    for name, (wording, must) in templates.items():
+        words = wording.split()
+        ok = F.lit(True)
+        for m in must:
+            standings = [[i for i in s if _indexed(words[i])] for s in _places(words, m.split())]
+            if standings:
+                ok = ok & _any([F.size(F.array_except(F.array(*map(F.lit, s)), places)) == 0
+                                for s in standings if s] or [F.lit(True)])
+        out = F.when(label == name, ok) if out is None else out.when(label == name, ok)
+    return out
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``lic_n_words``, ``lic_n_base``,
     ``lic_first_word``, ``lic_last_word``, ``lic_base`` and ``lic_labels`` (sorted
@@ -147,27 +177,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, text: str =
         F.count_distinct("lic_row").alias("df")).collect()}
     total = max(out.count(), 1)
     weights = {w: math.log((total + 1) / (frequencies.get(w, 0) + 1)) for w in index}
-    spark = docs.sparkSession
-    postings = spark.createDataFrame(
-        [(w, weights[w], label, at, any(w in m.split() for m in templates[label][1]))
-         for w, places in index.items() for label, at in places],
-        "word string, idf double, label string, place int, must boolean")
-    # Best words of each file and template whose mandatory phrases stand in it: the phrases'
-    # own words, then the highest IDF.  A template's words never take another's places.
-    tested = hits.join(postings, "word").where(F.array_contains("lic_verified", F.col("label")))
-    best = tested.groupBy("lic_row", "label", "word").agg(
-        F.max(F.struct("must", "idf")).alias("rank")).groupBy("lic_row", "label").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("rank", "word")), asc=False), 1, TOP_WORDS).alias("top"))
-    best = best.select("lic_row", "label", F.explode("top.word").alias("word"))
-    votes = tested.join(best, ["lic_row", "label", "word"])
-    agreed = votes.groupBy("lic_row", "label", (F.col("at") - F.col("place")).alias("offset")).agg(
-        F.count_distinct("word").alias("agree"))
-    sizes = {label: min(TOP_WORDS, len({w for w, p in index.items()
-                                        if any(x[0] == label for x in p)})) for label in templates}
-    size_of = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(n))])
-    found = agreed.where(F.col("agree") >= MIN_AGREE).groupBy("lic_row").agg(
+    # Highest IDF first; ties by word.
+    ranked = {label: sorted({w for w, places in index.items() if any(x[0] == label and not x[2] for x in places)},
+                            key=lambda w: (-weights[w], w)) for label in templates}
+    there = F.array_distinct(F.col("lic_found.word"))
+    looked = F.filter(F.array(*[F.struct(
+        F.lit(label).alias("label"),
+        F.slice(F.array_intersect(F.array(*map(F.lit, words)), there), 1, TOP_WORDS).alias("words"))
+        for label, words in ranked.items() if words]), lambda x: F.size(x["words"]) >= MIN_AGREE)
+    postings = docs.sparkSession.createDataFrame(
+        [(w, label, at, must) for w, places in index.items() for label, at, must in places],
+        "word string, label string, place int, must boolean")
+    # One row per template word, so the postings are always small enough to send.
+    asked = out.where(F.col("lic_found").isNotNull()).select(
+        "lic_row", "lic_verified", "lic_found", F.explode(looked).alias("t")).select(
+        "lic_row", "lic_verified", F.col("t.label").alias("label"), F.col("t.words").alias("words"),
+        F.explode("lic_found").alias("f"))
+    votes = asked.join(F.broadcast(postings), (F.col("f.word") == F.col("word")) & (
+        asked["label"] == postings["label"])).drop(postings["label"]).where(
+        F.col("must") | F.array_contains("words", F.col("word")))
+    agreed = votes.groupBy("lic_row", "label", (F.col("f.at") - F.col("place")).alias("offset")).agg(
+        F.collect_set(F.when(~F.col("must"), F.col("word"))).alias("agree"),
+        F.collect_set(F.when(F.col("must"), F.col("place"))).alias("places"),
+        F.first("lic_verified").alias("lic_verified"))
+    size_of = F.create_map(*[x for label, words in ranked.items() for x in (
+        F.lit(label), F.lit(max(1, min(TOP_WORDS, len(words)))))])
+    found = agreed.where((F.size("agree") >= MIN_AGREE) & F.array_contains("lic_verified", F.col("label"))
+                         & _in_place(templates, F.col("label"), F.col("places"))).groupBy("lic_row").agg(
         F.collect_set("label").alias("lic_m_labels"),
-        F.max(F.least(F.lit(1.0), F.col("agree") / size_of[F.col("label")])).alias("lic_m_score"))
+        F.max(F.least(F.lit(1.0), F.size("agree") / size_of[F.col("label")])).alias("lic_m_score"))
     joined = out.drop("lic_found", "lic_verified").join(found, "lic_row", "left")
     none = F.array().cast("array<string>")
     return joined.select(
@@ -184,6 +222,13 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
 def license_report(docs: DataFrame) -> DataFrame:
     """The contract's digest of :func:`scan`."""
     return scan(docs.select("doc_id", "text")).select(
