@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
 
+MIX_COLUMNS = ("mix_block", "mix_key", "mix_weight", "_mix_plan")
 TARGET_ENTROPY = 0.97
 MAX_REPEATS = 4.0
 BUDGET = 1.0          # tokens to deal out, as a multiple of the corpus
@@ -80,14 +81,51 @@ def find_exponent(sources: DataFrame, total: int, budget: float, target_entropy:
     return exponent
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+def row_hash(docs: DataFrame) -> Column:
+    """What a row holds in all its columns, nulls told apart; maps cannot be hashed."""
+    held = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    cells = [F.col(f"`{c}`") for c in held]
+    return F.xxhash64(F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("string") for c in held]), *cells)
+
+
+def _edge(cells: DataFrame, by: str) -> DataFrame:
+    """Of (s, ``by``, n, room): the cell of each source in which the budget ends, and what
+    of the room is left before it.  Sources whose budget covers all cells have none."""
+    running = Window.partitionBy("s").orderBy(by)
+    return cells.withColumn("upto", F.sum("n").over(running)).where(
+        (F.col("upto") > F.col("room")) & (F.col("upto") - F.col("n") <= F.col("room"))).select(
+        F.col("s").alias("e_s"), F.col(by).alias("e_by"),
+        (F.col("room") - F.col("upto") + F.col("n")).alias("left"))
+
+
+def last_block(rows: DataFrame, largest: int) -> DataFrame:
+    """(c_s, cut, part) of (s, mix_key, tokens, room): rows with a key below ``cut`` fit the
+    source's room, and ``part`` of the equal rows at it.  Ranges of keys are summed first,
+    about the root of the number of buckets each time, then the keys of one bucket."""
+    bits = max(0, math.ceil(math.log2(max(1, largest / BUCKET_ROWS))))
+    for width in sorted({bits // 2, bits} - {0}):
+        rows = rows.withColumn("bucket", F.shiftright("mix_key", 64 - width))
+        ends = keep(_edge(rows.groupBy("s", "bucket").agg(
+            F.sum("tokens").alias("n"), F.first("room").alias("room")), "bucket"), "mix-edges")
+        rows = rows.join(ends, F.col("s").eqNullSafe(F.col("e_s")) & (F.col("bucket") == F.col("e_by"))).select(
+            "s", "mix_key", "tokens", F.col("left").alias("room"))
+    keys = keep(rows.groupBy("s", "mix_key").agg(
+        F.sum("tokens").alias("n"), F.max("tokens").alias("each"), F.first("room").alias("room")), "mix-keys")
+    ends = _edge(keys, "mix_key")
+    return keys.join(ends, F.col("s").eqNullSafe(F.col("e_s")) & (F.col("mix_key") == F.col("e_by"))).select(
+        F.col("s").alias("c_s"), F.col("mix_key").alias("cut"), F.expr("left div each").cast("int").alias("part"))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text",
         target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS,
         budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """``docs``, each row as often as its source's blocks hold it, plus ``mix_block``
     (1, 2, ...), ``mix_key`` (order inside the block) and ``mix_weight``."""
-    docs = docs.drop("mix_block", "mix_key", "mix_weight", "_mix_plan")
-    place = lambda block, k=key, s=source: F.xxhash64(F.lit(seed), block, F.col(k), F.col(s))
-    light = keep(docs.select(F.col(key).alias("k"), F.col(source).alias("src"), count_tokens(F.col(text)).alias("tokens")), "mix-rows")
+    docs = docs.drop(*MIX_COLUMNS)
+    place = lambda block, said: F.xxhash64(F.lit(seed), block, said)
+    said = row_hash(docs)
+    light = keep(docs.select(said.alias("said"), F.col(source).alias("src"),
+                             count_tokens(F.col(text)).alias("tokens")), "mix-rows")
     sources = keep(light.groupBy(F.col("src").alias("s")).agg(
         F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).where("tokens > 0"), "mix-sources")
     total, largest = sources.agg(F.sum("tokens"), F.max("docs")).first()
@@ -100,35 +138,34 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     z = sources.agg(F.sum(F.pow(F.col("tokens") / total, F.lit(exponent)))).first()[0]
     shares = sources.withColumn("mix_weight", F.pow(F.col("tokens") / total, F.lit(exponent)) / z)
     shares = shares.withColumn("quota", F.floor(F.col("mix_weight") * wanted).cast("long")).withColumns({
-        "whole": F.expr("quota div tokens").cast("int"), "rest": F.col("quota") % F.col("tokens")})
+        "whole": F.expr("quota div tokens").cast("int"), "room": F.col("quota") % F.col("tokens")})
     shares = keep(shares, "mix-shares")
 
-    # The last, partial block: sums by hash bucket, then the bucket where the budget ends.
-    bits = max(0, math.ceil(math.log2(max(1, largest / BUCKET_ROWS))))
-    bucket = F.shiftright(F.col("mix_key"), 64 - bits) if bits else F.lit(0).cast("long")
-    joined = light.join(shares.drop("tokens", "docs"), F.col("src").eqNullSafe(F.col("s"))).withColumn(
-        "mix_key", place(F.col("whole") + 1, "k", "src")).withColumn("bucket", bucket)
-    sums = joined.groupBy("s", "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
-    from pyspark.sql import Window
-    running = Window.partitionBy("s").orderBy("bucket")
-    last = sums.withColumn("upto", F.sum("n").over(running)).where(
-        (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest"))).select(
-        F.col("s").alias("e_s"), F.col("bucket").alias("e_bucket"), (F.col("upto") - F.col("n")).alias("before"))
-    edge = joined.join(last, F.col("s").eqNullSafe(F.col("e_s")) & (F.col("bucket") == F.col("e_bucket")))
-    inside = Window.partitionBy("s").orderBy("mix_key")
-    keys = edge.groupBy("s", "mix_key", "before", "rest").agg(F.sum("tokens").alias("n"))
-    cut = keys.withColumn("upto", F.col("before") + F.sum("n").over(inside)).where(
-        F.col("upto") > F.col("rest")).groupBy(F.col("s").alias("c_s")).agg(F.min("mix_key").alias("cut"))
+    rows = light.join(shares.select("s", "whole", "room"), F.col("src").eqNullSafe(F.col("s"))).select(
+        "s", place(F.col("whole") + 1, F.col("said")).alias("mix_key"), "tokens", "room")
+    cut = last_block(rows, largest)
     plan = keep(shares.join(cut, F.col("s").eqNullSafe(F.col("c_s")), "left").select(
         F.col("s").alias("mix_s"), F.col("whole").alias("mix_whole"), "mix_weight",
-        F.col("cut").alias("mix_cut")), "mix-plan").select(F.struct("*").alias("_mix_plan"))
+        F.col("cut").alias("mix_cut"), F.col("part").alias("mix_part")), "mix-plan")
+    in_part = not plan.where("mix_part > 0").isEmpty()
+    plan = plan.select(F.struct("*").alias("_mix_plan"))
 
     whole, end = F.col("_mix_plan.mix_whole"), F.col("_mix_plan.mix_cut")
-    dealt = docs.join(plan, F.col(source).eqNullSafe(F.col("_mix_plan.mix_s")))
-    copies = whole + F.when(end.isNotNull() & (place(whole + 1) < end), 1).otherwise(0)
-    dealt = dealt.withColumn("mix_block", F.explode(F.sequence(F.lit(0), copies))).where("mix_block > 0")
-    return dealt.withColumn("mix_key", place(F.col("mix_block"))).select(
-        *docs.columns, "mix_block", "mix_key", F.col("_mix_plan.mix_weight").alias("mix_weight"))
+    weight = F.col("_mix_plan.mix_weight").alias("mix_weight")
+    planned = docs.join(plan, F.col(source).eqNullSafe(F.col("_mix_plan.mix_s")))
+    last = place(whole + 1, said)
+    copies = whole + F.when(end.isNotNull() & (last < end), 1).otherwise(0)
+    dealt = planned.withColumn("mix_block", F.explode(F.sequence(F.lit(0), copies))).where(
+        "mix_block > 0").withColumn("mix_key", place(F.col("mix_block"), said)).select(
+        *docs.columns, "mix_block", "mix_key", weight)
+    if not in_part:
+        return dealt
+    # The budget ends among equal rows: one of them, as often as they fit.
+    at_cut = planned.where((last == end) & (F.col("_mix_plan.mix_part") > 0)).groupBy("_mix_plan").agg(
+        F.first(F.struct(*docs.columns)).alias("row"))
+    some = at_cut.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_plan.mix_part")))).select(
+        "row.*", (whole + 1).alias("mix_block"), end.alias("mix_key"), weight)
+    return dealt.unionByName(some)
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
