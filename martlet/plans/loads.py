@@ -20,7 +20,7 @@ from martlet.params import TPCH_REGIONS, TPCH_SEGMENTS, TPCH_SHIP_MODES
 from martlet.plans.dashboard import yearly_sales
 from martlet.plans.frames import dashboard_frame
 from martlet.schema import TABLES
-from martlet.session import ensure_checkpoint_dir, materialize
+from martlet.session import materialize, owned_tables, tables_folder
 from martlet.sources.flat import flat_from_mart, read_dashboard_csv, read_flat, sample_rows
 from martlet.sources.mart import Mart
 from martlet.sources.store import append_mart, read_mart, write_mart
@@ -88,8 +88,7 @@ def stored_frame_yearly_sales(m: Mart) -> DataFrame:
 
 
 def _fresh_path(m: Mart, label: str) -> str:
-    base = ensure_checkpoint_dir(m.orders.sparkSession).rstrip("/")
-    return f"{base}/martlet-tables/{label}-{uuid.uuid4().hex}"
+    return f"{tables_folder(m.orders.sparkSession)}/{label}-{uuid.uuid4().hex}"
 
 
 def upsert_sellers_demo(m: Mart) -> DataFrame:
@@ -158,12 +157,15 @@ def load_sheet(flat: DataFrame, sellers: DataFrame, path: str,
                domains: I.Domains = I.Domains()) -> Mart:
     """The whole load as one run: ingest the sheet, give every line a seller,
     and write each table once (full refresh) plus the rejects (``read_stored(...,
-    "rejects")``); returns the stored mart.  Seller ids are kept as text, like the sheet's other ids."""
-    res = I.ingest(flat, domains)
-    text_sellers = sellers.withColumn("seller_id", F.col("seller_id").cast("string"))
-    mart = Mart(categories=res.categories, subcategories=res.subcategories,
-                sellers=text_sellers, customers=res.customers, products=res.products,
-                orders=res.orders, order_details=res.order_details)
-    mart = mart.replace(order_details=assign_sellers(mart))
-    write_mart(mart, path, rejects=res.rejects)
-    return read_mart(flat.sparkSession, path)
+    "rejects")``); returns the stored mart.  The load's intermediates are deleted when the tables
+    are stored.  Seller ids are kept as text, like the sheet's other ids."""
+    spark = flat.sparkSession
+    with owned_tables(spark):
+        res = I.ingest(flat, domains)
+        text_sellers = sellers.withColumn("seller_id", F.col("seller_id").cast("string"))
+        mart = Mart(categories=res.categories, subcategories=res.subcategories,
+                    sellers=text_sellers, customers=res.customers, products=res.products,
+                    orders=res.orders, order_details=res.order_details)
+        mart = mart.replace(order_details=assign_sellers(mart))
+        write_mart(mart, path, rejects=res.rejects)
+    return read_mart(spark, path)

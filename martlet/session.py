@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,12 +85,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+SCOPE = "martlet.tables.scope"
+
+
+def tables_folder(spark: SparkSession) -> str:
+    """Where intermediates go: a folder of the scope that is open in this thread, or the
+    shared one."""
+    try:
+        scope = spark.sparkContext.getLocalProperty(SCOPE)
+    except Exception:  # sessions without a local SparkContext
+        scope = None
+    return scope or f"{ensure_checkpoint_dir(spark).rstrip('/')}/martlet-tables"
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[str]:
+    """Intermediates written inside this scope are deleted when it ends, failed or not.
+
+    The scope is a folder named in a local property, which threads started through
+    ``inheritable_thread_target`` take over.  Frames that read those intermediates end with
+    it: store or collect a result inside the scope.  A scope inside a scope has a folder of its own."""
+    sc = spark.sparkContext
+    outer, folder = sc.getLocalProperty(SCOPE), f"{tables_folder(spark)}/scope-{uuid.uuid4().hex}"
+    sc.setLocalProperty(SCOPE, folder)
+    try:
+        yield folder
+    finally:
+        sc.setLocalProperty(SCOPE, outer)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str, row_group_bytes: int = 16 * 1024 * 1024) -> DataFrame:
-    """Write ``df`` as a parquet table under the session's checkpoint folder and
-    return a frame reading it back: lineage is cut, the stored copy survives
-    executor loss, and every later job reads the same rows.  Row groups are
+    """Write ``df`` as a parquet table under the session's checkpoint folder (inside the open
+    scope, if there is one) and return a frame reading it back: lineage is cut, the stored copy
+    survives executor loss, and every later job reads the same rows.  Row groups are
     kept moderate so the copy splits into several read tasks."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/martlet-tables/{label}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", row_group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

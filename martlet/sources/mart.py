@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,14 +32,33 @@ class Mart:
     # Keys of order lines without a parent, where a store knows them: they hold for these
     # very tables only, so a mart with other tables has none.
     orphans: dict[str, DataFrame] | None = None
+    # Orders and lines with the year they are laid out by, where a store has them so.
+    by_year: dict[str, DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     def replace(self, **tables: DataFrame) -> "Mart":
-        values = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "orphans"}
+        values = {f.name: getattr(self, f.name) for f in fields(self)
+                  if f.name not in ("orphans", "by_year")}
         return Mart(**{**values, **tables})
 
+    def in_years(self, first: Column, last: Column) -> "Mart":
+        """The mart with at least the orders dated from year ``first`` to ``last`` and their lines:
+        a stored mart skips the folders of other years, any other is returned whole.  Rows
+        without a known year are always kept."""
+        if self.by_year is None:
+            return self
+        year = F.col("order_year")
+        wanted = year.between(first, last) | year.isNull()
+        orders, lines = (self.by_year[t].where(wanted).drop("order_year")
+                         for t in ("orders", "order_details"))
+        out = self.replace(orders=orders, order_details=lines)
+        # Lines without a parent stay lines without one: of the orders only whole years are left
+        # out, and with them their lines.
+        out.orphans = self.orphans
+        return out
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

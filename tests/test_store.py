@@ -182,3 +182,117 @@ def test_every_table_of_the_ingest_reads_the_stage(spark, sf_dir):
     rejects = _plan(res.rejects)
     assert sum("Order ID" in x for x in rejects.splitlines() if "FileScan" in x) == 1
     assert "Exchange hash" not in rejects
+
+
+def _files(folder):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns
+            for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_a_range_of_dates_reads_its_years_only(spark, sf_dir, path):
+    from martlet.plans.reports import filter_date_range
+    m = tpch_mart(spark, sf_dir)
+    S.write_mart(m, path)
+    stored = S.read_mart(spark, path)
+    got = filter_date_range(stored, "1995-03-01", "1995-08-31")
+    scans = [x for x in _plan(got).splitlines() if "PartitionFilters" in x and "order_year" in x]
+    assert len(scans) == 2 and all("1995" in x for x in scans)  # orders and lines
+    want = filter_date_range(m, "1995-03-01", "1995-08-31")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.count() > 0
+    lines = stored.in_years(F.lit(1995), F.lit(1995)).order_details
+    assert all("order_year=1995" in f or "order_year=__HIVE" in f for f in
+               (r[0] for r in lines.select(F.input_file_name()).distinct().collect()))
+
+
+def test_lines_of_an_unknown_year_are_never_left_out(spark, path):
+    """Lines without an order, of an undated order, of an order that comes later."""
+    from martlet.plans.reports import filter_date_range
+    m = basic_mart(spark)
+    undated = m.orders.limit(1).withColumns({"order_id": F.lit(200).cast("long"), "order_date": F.lit(None).cast("date")})
+    extra = [(5, 999, 10, 1, D("7.00"), 1, D("0.00"), D("1.00")), (6, 200, 10, 1, D("7.00"), 1, D("0.00"), D("1.00"))]
+    m = m.replace(orders=m.orders.unionByName(undated),
+                  order_details=m.order_details.unionByName(spark.createDataFrame(extra, m.order_details.schema)))
+    S.write_mart(m, path)
+    stored = S.read_mart(spark, path)
+    ids = lambda mart: sorted(r[0] for r in mart.order_details.select("id").collect())
+    assert ids(stored.in_years(F.lit(2016), F.lit(2016))) == [1, 2, 5, 6]
+    whole, part = Dsh.kpi_overview(stored), Dsh.kpi_overview(stored.in_years(F.lit(1), F.lit(9999)))
+    assert rows_of(whole) == rows_of(part)
+    none = {t: m.table(t).limit(0) for t in ("categories", "subcategories", "sellers", "customers", "products",
+                                            "order_details")}
+    late = m.orders.limit(1).withColumns({"order_id": F.lit(999).cast("long"),
+                                          "order_date": F.lit("2020-01-05").cast("date")})
+    S.append_mart(Mart(**none, orders=late), path, "late")
+    found = filter_date_range(S.read_mart(spark, path), "2020-01-01", "2020-12-31")
+    assert [r["order_id"] for r in found.collect()] == [999]
+
+
+def test_a_batch_appended_again_leaves_no_year_behind(spark, path):
+    m = basic_mart(spark)
+    S.write_mart(m.replace(order_details=m.order_details.limit(0)), path)
+    none = {t: m.table(t).limit(0) for t in ("categories", "subcategories", "sellers", "customers", "products", "orders")}
+    for ids, want in (("1, 2, 3, 4", [1, 2, 3, 4]), ("3, 4", [3, 4])):
+        S.append_mart(Mart(**none, order_details=m.order_details.where(f"id in ({ids})")), path, "b")
+        assert [r[0] for r in _lines(S.read_mart(spark, path))] == want
+    with pytest.raises(ValueError):
+        S.append_mart(Mart(**none, order_details=m.order_details), path, "a/b")
+
+
+def test_an_update_rewrites_only_the_folders_it_touches(spark, sf_dir, path):
+    from martlet.operators.sellers import update_column
+    m = tpch_mart(spark, sf_dir)
+    folder = S.write_mart(m, path)
+    before, lines = _files(f"{folder}/order_details"), S.read_mart(spark, path).by_year["order_details"]
+    new = (lines.where("order_year = 1996 and cast(id % 5 as int) = 0")
+           .select("id", (F.col("seller_id") * 0 + 1).alias("seller_id")))
+    gone = spark.createDataFrame([(None, 3)], "id decimal(38,0), seller_id long")  # null key: of no line
+    want = update_column(m.order_details, new, "id", "seller_id").collect()
+    assert S.update_lines(spark, path, new.unionByName(gone), "id", "seller_id", "u1") == 1
+    after = _files(f"{folder}/order_details")
+    changed = {f for f in before.keys() | after.keys() if before.get(f) != after.get(f)}
+    assert changed and all("order_year=1996" in f for f in changed)
+    stored = S.read_mart(spark, path)
+    assert stored.orphans is None
+    got = stored.order_details.select(*m.order_details.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # The same run again finishes from what it stored: the folder is as it was meant to be.
+    assert S.update_lines(spark, path, new.limit(0), "id", "seller_id", "u1") == 1
+    got = S.read_mart(spark, path).order_details.select(*m.order_details.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_updates_of_no_line_unknown_years_and_repeated_keys(spark, path):
+    m = basic_mart(spark)
+    m = m.replace(order_details=m.order_details.unionByName(
+        spark.createDataFrame([ORPHANS[0]], m.order_details.schema)))
+    S.write_mart(m, path)
+    ups = lambda rows: spark.createDataFrame(rows, "id long, seller_id long")
+    assert S.update_lines(spark, path, ups([(77, 2)]), "id", "seller_id", "none") == 0
+    assert S.update_lines(spark, path, ups([(5, 1), (5, 2), (1, None)]), "id", "seller_id", "one") == 1
+    sellers = {r.id: r.seller_id for r in S.read_mart(spark, path).order_details.collect()}
+    assert sellers == {1: 1, 2: 2, 3: 2, 4: 1, 5: 2}
+    with pytest.raises(ValueError):
+        S.update_lines(spark, path, ups([]), "id", "order_id", "x")
+    with pytest.raises(ValueError):
+        S.update_lines(spark, f"{path}-none", ups([]), "id", "seller_id", "x")
+
+
+def test_a_scope_deletes_what_was_written_in_it(spark, sf_dir, path):
+    from martlet.session import materialize, owned_tables, tables_folder
+    shared = tables_folder(spark)
+    kept = materialize(spark.range(5), "kept")
+    with pytest.raises(RuntimeError):
+        with owned_tables(spark) as outer:
+            assert tables_folder(spark) == outer
+            materialize(spark.range(3), "a")
+            with owned_tables(spark) as inner:
+                assert materialize(spark.range(4), "b").count() == 4 and inner.startswith(outer)
+            assert not os.path.exists(inner) and os.listdir(outer)
+            raise RuntimeError("the load failed")
+    assert not os.path.exists(outer) and tables_folder(spark) == shared and kept.count() == 5
+    m = tpch_mart(spark, sf_dir)
+    sheet = L.noisy_sheet(m)
+    before = set(os.listdir(shared))
+    stored = L.load_sheet(sheet, m.sellers, path, L.TPCH_DOMAINS)
+    assert set(os.listdir(shared)) == before  # threads of the load write into its scope too
+    assert stored.order_details.count() == L.load_from_sheet(m, "order_details").count()
