@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.schema import (FOREIGN_KEYS, MAX_LENGTHS, NOT_NULL, PRIMARY_KEYS, REGIONS, SEGMENTS,
-                            SHIP_MODES, UNIQUE_COLUMNS)
+                            SHIP_MODES, TABLES, UNIQUE_COLUMNS)
 from martlet.sources.mart import Mart
 
 
@@ -72,38 +72,23 @@ def check_foreign_keys(m: Mart) -> DataFrame:
     return _union(rows)
 
 
-def check_not_null(m: Mart) -> DataFrame:
-    """Per NOT NULL column: rows holding NULL (one pass per table)."""
-    rows = []
-    for table, cols in NOT_NULL.items():
-        counts = m.table(table).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-        rows.append(counts.unpivot([], cols, "column_name", "null_count")
-                    .select(F.lit(table).alias("table_name"), "column_name", "null_count"))
-    return _union(rows)
+# A rule of single rows: (what kind, constraint or column, condition of a row that breaks it).
+Rule = tuple[str, str, Column]
 
 
-def _constraint_rows(table: str, df: DataFrame, named: Mapping[str, object]) -> DataFrame:
-    counts = df.agg(*[F.count_if(cond).alias(name) for name, cond in named.items()])
-    return (counts.unpivot([], list(named), "constraint_name", "violations")
-            .select(F.lit(table).alias("table_name"), "constraint_name", "violations"))
+def _not_null_rules() -> dict[str, list[Rule]]:
+    return {t: [("not null", c, F.col(c).isNull()) for c in cols] for t, cols in NOT_NULL.items()}
 
 
-def check_ranges(m: Mart) -> DataFrame:
-    """Value ranges: rating within 0..5, discount within 0..1, quantity above 0,
-    sales not negative."""
-    sellers = _constraint_rows("sellers", m.sellers, {
-        "chk_seller_rating": ~F.col("seller_rating").between(0, 5)})
-    details = _constraint_rows("order_details", m.order_details, {
-        "chk_quantity": ~(F.col("quantity") > 0),
-        "chk_discount": ~F.col("discount").between(0, 1),
-        "chk_sales": ~(F.col("sales") >= 0)})
-    return sellers.unionByName(details)
+def _range_rules() -> dict[str, list[Rule]]:
+    return {"sellers": [("range", "chk_seller_rating", ~F.col("seller_rating").between(0, 5))],
+            "order_details": [("range", "chk_quantity", ~(F.col("quantity") > 0)),
+                              ("range", "chk_discount", ~F.col("discount").between(0, 1)),
+                              ("range", "chk_sales", ~(F.col("sales") >= 0))]}
 
 
-def check_ship_date(m: Mart) -> DataFrame:
-    """Orders shipped before they were placed."""
-    return _constraint_rows("orders", m.orders, {
-        "chk_ship_date": ~(F.col("ship_date") >= F.col("order_date"))})
+def _ship_date_rules() -> dict[str, list[Rule]]:
+    return {"orders": [("range", "chk_ship_date", ~(F.col("ship_date") >= F.col("order_date")))]}
 
 
 DEFAULT_DOMAINS = {
@@ -112,31 +97,75 @@ DEFAULT_DOMAINS = {
     ("customers", "region"): REGIONS,
     ("orders", "ship_mode"): SHIP_MODES,
 }
+Domains = Mapping[tuple[str, str], Sequence[str]]
 
 
-def check_enum_domains(m: Mart,
-                       domains: Mapping[tuple[str, str], Sequence[str]] | None = None) -> DataFrame:
-    """Per enum column: non-null values outside the column's domain."""
-    rows = []
+def _domain_rules(domains: Domains | None) -> dict[str, list[Rule]]:
+    out: dict[str, list[Rule]] = {}
     for (table, col), values in (domains or DEFAULT_DOMAINS).items():
         c = F.col(col)
-        rows.append(m.table(table).agg(F.count_if(c.isNotNull() & ~c.isin(list(values)))
-                                       .alias("violations"))
-                    .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                            "violations"))
+        out.setdefault(table, []).append(("domain", col, c.isNotNull() & ~c.isin(list(values))))
+    return out
+
+
+def _length_rules() -> dict[str, list[Rule]]:
+    return {t: [("length", c, F.length(F.col(c).cast("string")) > w) for c, w in widths.items()]
+            for t, widths in MAX_LENGTHS.items()}
+
+
+def _broken_rows(m: Mart, *rule_sets: Mapping[str, list[Rule]]) -> DataFrame:
+    """(table_name, rule, subject, violations): one aggregate a table, whatever the rules."""
+    rows = []
+    for table in TABLES:
+        rules = [r for rules in rule_sets for r in rules.get(table, [])]
+        if rules:
+            counts = m.table(table).agg(*[F.count_if(broken).alias(f"n{i}")
+                                          for i, (_, _, broken) in enumerate(rules)])
+            rows.append(counts.select(F.inline(F.array(*[
+                F.struct(F.lit(table).alias("table_name"), F.lit(kind).alias("rule"),
+                         F.lit(subject).alias("subject"), F.col(f"n{i}").alias("violations"))
+                for i, (kind, subject, _) in enumerate(rules)]))))
     return _union(rows)
 
 
+def check_rows(m: Mart, domains: Domains | None = None) -> DataFrame:
+    """Every rule that single rows keep or break (not null, ranges, ship date, domains, text
+    widths), each table read once for all of them."""
+    return _broken_rows(m, _not_null_rules(), _range_rules(), _ship_date_rules(),
+                        _domain_rules(domains), _length_rules())
+
+
+def check_not_null(m: Mart) -> DataFrame:
+    """Per NOT NULL column: rows holding NULL (one pass per table)."""
+    return _broken_rows(m, _not_null_rules()).select(
+        "table_name", F.col("subject").alias("column_name"), F.col("violations").alias("null_count"))
+
+
+def _by_constraint(rows: DataFrame) -> DataFrame:
+    return rows.select("table_name", F.col("subject").alias("constraint_name"), "violations")
+
+
+def check_ranges(m: Mart) -> DataFrame:
+    """Value ranges: rating within 0..5, discount within 0..1, quantity above 0,
+    sales not negative."""
+    return _by_constraint(_broken_rows(m, _range_rules()))
+
+
+def check_ship_date(m: Mart) -> DataFrame:
+    """Orders shipped before they were placed."""
+    return _by_constraint(_broken_rows(m, _ship_date_rules()))
+
+
+def check_enum_domains(m: Mart, domains: Domains | None = None) -> DataFrame:
+    """Per enum column: non-null values outside the column's domain."""
+    return _broken_rows(m, _domain_rules(domains)).select(
+        "table_name", F.col("subject").alias("column_name"), "violations")
+
+
 def check_lengths(m: Mart) -> DataFrame:
     """Per text column with a declared width: values longer than it."""
-    rows = []
-    for table, widths in MAX_LENGTHS.items():
-        df = m.table(table)
-        counts = df.agg(*[F.count_if(F.length(F.col(c).cast("string")) > w).alias(c)
-                          for c, w in widths.items()])
-        limits = F.create_map(*[F.lit(x) for kv in widths.items() for x in kv])
-        rows.append(counts.unpivot([], list(widths), "column_name", "violations")
-                    .select(F.lit(table).alias("table_name"), "column_name",
-                            F.element_at(limits, F.col("column_name")).alias("max_length"),
-                            "violations"))
-    return _union(rows)
+    widths = F.create_map(*[F.lit(x) for t, cols in MAX_LENGTHS.items() for c, w in cols.items()
+                            for x in (f"{t}.{c}", w)])
+    return _broken_rows(m, _length_rules()).select(
+        "table_name", F.col("subject").alias("column_name"),
+        F.element_at(widths, F.concat_ws(".", "table_name", "subject")).alias("max_length"), "violations")

@@ -369,3 +369,21 @@ def test_domains_are_declared_in_order():
     assert SEGMENTS == ["Consumer", "Corporate", "Home Office"]
     assert REGIONS == ["East", "West", "Central", "South"]
     assert SHIP_MODES == ["First Class", "Second Class", "Standard Class", "Same Day"]
+
+
+def test_row_rules_read_each_table_once(spark):
+    from martlet.operators.quality import check_enum_domains, check_rows
+    m = basic_mart(spark, customers=[(1, None, "consumer", "US", None, None, "x" * 21, "East"),
+                                     (2, "Bob", "Corporate", "US", None, None, None, "Nowhere")],
+                   order_details=[(1, 100, 10, 1, None, 0, D("1.10"), None)])
+    broken = {(r.table_name, r.rule, r.subject) for r in check_rows(m).collect() if r.violations}
+    assert broken == {("customers", "not null", "customer_name"), ("customers", "domain", "segment"),
+                      ("customers", "domain", "region"), ("customers", "length", "postal_code"),
+                      ("order_details", "not null", "sales"), ("order_details", "range", "chk_quantity"),
+                      ("order_details", "range", "chk_discount")}
+    stored = {t: m.table(t) for t in ("sellers", "customers", "orders", "order_details")}
+    plan = check_rows(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 7
+    found = {(r.table_name, r.column_name): r.violations for r in check_enum_domains(
+        m.replace(**stored), {("customers", "segment"): ["Corporate"], ("orders", "ship_mode"): ["Same Day"]}).collect()}
+    assert found == {("customers", "segment"): 1, ("orders", "ship_mode"): 1}
