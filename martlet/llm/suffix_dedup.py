@@ -245,7 +245,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int =
     [start, end) covered by repeated ``length``-byte strings, as array of structs."""
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = keep(texts.mapInPandas(_parse_rows(length, span), PHRASES), "phrases")
-    shared = found.groupBy("ctx").count().where("count > 1").select("ctx")
+    # Stored, so that the join below has a size to plan with and may split a hot interval.
+    shared = keep(found.groupBy("ctx").count().where("count > 1").select("ctx"), "shared-intervals")
     found = keep(found.join(shared, "ctx", "left_semi"), "shared-phrases")
 
     entries = keep(found.groupBy("ctx", "ext").agg(
