@@ -43,8 +43,8 @@ BITS_PER_KEY = 9
 MAX_BITS = 1 << 31    # 256 MB are broadcast at a time
 BUCKETS = 512
 HEAD = 1 << 16
-GROUP_CHARS = 4_000_000   # characters of texts that are scored together
-CHUNK = 4_000_000     # tokens a map task holds before it sends counts on
+GROUP_CHARS = 2_000_000   # characters of texts that are scored together
+CHUNK = 1_000_000     # tokens a map task holds before it sends counts on
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
