@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from martlet.operators.ranking import CONF_ROWS_PER_BUCKET
 from martlet.plans import reports as R
+from martlet.plans.loads import csv_data_range, ingest_sheet_csv
 from martlet.sources import mart as M
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,15 @@ def test_ids_with_a_large_order_and_lines_without_one(spark, tmp_path, share):
     a, b = plain.order_details, chunked.order_details
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert b.where("order_id is null").count() > 0
+
+
+def test_exports_are_compressed(spark, monkeypatch):
+    from martlet.plans import loads as L
+    paths, fresh = [], L._fresh_path
+    monkeypatch.setattr(L, "_fresh_path", lambda m, label: paths.append(fresh(m, label)) or paths[-1])
+    m = M._build_tpch_mart(spark, SF)
+    assert csv_data_range(m).first()["total_records"] == R.wide_fact(m).count()
+    assert ingest_sheet_csv(m).count() > 0
+    for p in paths:
+        names = [n for n in os.listdir(p) if n.startswith("part-")]
+        assert names and all(n.endswith(".csv.gz") for n in names)
