@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from martlet.operators.ranking import CONF_ROWS_PER_BUCKET
 from martlet.plans import reports as R
-from martlet.plans.loads import csv_data_range, ingest_sheet_csv
+from martlet.plans.loads import csv_data_range, ingest_sheet_csv, update_line_sellers
 from martlet.sources import mart as M
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +69,8 @@ def test_exports_are_compressed(spark, monkeypatch):
     for p in paths:
         names = [n for n in os.listdir(p) if n.startswith("part-")]
         assert names and all(n.endswith(".csv.gz") for n in names)
+
+
+def test_lines_read_more_than_once_are_numbered_once(spark):
+    plan = update_line_sellers(M._build_tpch_mart(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_w0" not in plan and "l_linenumber" not in plan
