@@ -9,8 +9,11 @@ words add nothing to a product with an item (they do count in a passage's length
    document frequencies; partial sums are added term by term.  The left singular
    vectors of the sum, joined by those of the benchmark's own TF-IDF passages, span
    the latent space of at most RANK dimensions.
-2. *Candidates.*  A second pass projects every passage of every text and takes the
-   (text, item) pairs with cosine of at least ``COSINE`` to a passage of the item.
+2. *Candidates.*  A second pass takes the (text, item) pairs whose passages have, in the
+   latent space, a cosine of at least ``COSINE``.  A term adds to a cosine at most the largest
+   product of its projection with an item passage; these maxima, taken over each of ``GROUPS``
+   groups of item passages, bound a passage's cosines, and only passages whose bound reaches
+   ``COSINE`` are projected.  No pair is lost by that.
 3. *Checks.*  Around a candidate the longest common subsequence of words with the item
    is measured: at ``VERBATIM`` of the item's words it is a leak; from ``PARAPHRASE`` on
    the item's answer (column ``answer``, else its last sentence) must be found too.
@@ -30,6 +33,7 @@ benchmark or corpus gives no pairs.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,8 @@ BLOCK = 16
 RANK = 256            # dimensions of the latent space,
 SKETCH = 48           # of which the corpus' passages determine so many
 COSINE = 0.4
+GROUPS = 32           # groups of item passages with a bound of their own on the cosine,
+SLACK = 1e-3          # which is taken for so much more than it is, since sums are rounded
 COMMON = 0.1          # terms in a larger share of all passages weigh nothing,
 HOT = 0.5             # but this share of the rarest term's weight where they make up most of an item
 VERBATIM = 0.8
@@ -55,23 +61,18 @@ def norm_words(text: str | None) -> list[bytes]:
     return [w for w in words if w]
 
 
-class _Ids(dict):
-    """Raw word -> term number, -1 for other words, -2 for bare punctuation."""
+class _Ids:
+    """Term numbers of a text's words (as ``norm_words`` has them), -1 for other words.  Nothing
+    is remembered of other words: most are rare, and looking them up in a large memo costs more
+    than stripping them again."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, raw):
-        if len(self) > 300_000:
-            self.clear()
-        word = raw.strip(_EDGES)
-        value = self[raw] = self.vocabulary.get(word, -1) if word else -2
-        return value
+        self.number = {**vocabulary, b"": -2}.get   # bare punctuation is no word
 
     def of(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode("utf-8", "replace").lower().split()
-        ids = np.fromiter(map(self.__getitem__, raw), dtype=np.int64, count=len(raw))
+        words = map(bytes.strip, raw, repeat(_EDGES))
+        ids = np.fromiter(map(self.number, words, repeat(-1)), dtype=np.int64, count=len(raw))
         return ids[ids > -2] if len(ids) and ids.min() == -2 else ids
 
 
@@ -207,10 +208,12 @@ def fit(docs: DataFrame, items: list[tuple], sketch_size: int = SKETCH) -> dict
     bench = bench[:, values > 1e-9 * max(values[0], 1e-30)]
     space, _ = np.linalg.qr(np.hstack([bench, corpus]))
     latent = own @ space
-    lengths = np.linalg.norm(latent, axis=1)
-    return {"vocabulary": vocabulary, "project": (idf[:, None] * space).astype(np.float32),
+    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]).astype(np.float32)
+    project = (idf[:, None] * space).astype(np.float32)
+    groups = np.array_split(latent, min(GROUPS, len(latent)))
+    return {"vocabulary": vocabulary, "project": project, "latent": latent,
+            "bound": np.stack([(project @ g.T).max(axis=1) for g in groups], axis=1),
             "idf2": (idf ** 2).astype(np.float32), "rarest2": rarest ** 2,
-            "latent": (latent / np.maximum(lengths, 1e-9)[:, None]).astype(np.float32),
             "owner": np.array(owner), "words": words,
             "answers": [_answer(t or "", a) for _, t, a in items], "ids": [i for i, _, _ in items]}
 
@@ -247,17 +250,29 @@ def candidates(texts: list[np.ndarray], model: dict, cosine: float) -> list[dict
     squares[known] = model["idf2"][ids[known]]
     length = np.bincount(block, squares, n)
     used = known[squares[known] > 0]
-    z = _sum_blocks(model["project"][ids[used]], block[used], n)
     # A passage is a block and its follower; a last block stands alone only as a first.
     follows = np.append(doc[1:] == doc[:-1], False)
     pair = np.flatnonzero(follows | (np.arange(n) == start[doc]))
-    joined, total = z[pair], length[pair]
-    more = follows[pair]
-    joined[more] += z[pair[more] + 1]
-    total[more] += length[pair[more] + 1]
-    joined /= np.sqrt(np.maximum(total, 1e-9))[:, None].astype(np.float32)
+
+    def of_passages(values):
+        joined, more = values[pair], follows[pair]
+        joined[more] += values[pair[more] + 1]
+        return joined
+
+    root = np.sqrt(np.maximum(of_passages(length), 1e-9))
+    bound = of_passages(_sum_blocks(model["bound"][ids[used]], block[used], n))
+    reached = bound.max(axis=1) >= (cosine - SLACK) * root
+    if not reached.any():
+        return found
+    needed = np.zeros(n, dtype=bool)
+    needed[pair[reached]] = True
+    needed[pair[reached & follows[pair]] + 1] = True
+    used = used[needed[block[used]]]
+    # Passages out of reach stay in their places: a cosine's last digits depend on the product's shape.
+    joined = of_passages(_sum_blocks(model["project"][ids[used]], block[used], n))
+    joined /= root[:, None].astype(np.float32)
     near = joined @ model["latent"].T
-    at, q = np.nonzero(near >= cosine)
+    at, q = np.nonzero((near >= cosine) & reached[:, None])
     for score, p, item in zip(near[at, q].tolist(), pair[at].tolist(), model["owner"][q].tolist()):
         d = doc[p]
         found[d].setdefault(item, []).append((score, p - int(start[d])))
