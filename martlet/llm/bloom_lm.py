@@ -7,10 +7,12 @@ smoothed: (c(hw) + MU * p(w)) / (c(h) + MU), p(w) add-one over the training toke
 
 The filters, one of words and one of bigrams, are built in ``buckets`` by hash: map tasks
 send sorted, pre-counted key blocks to the bucket, whose task merges them and sets the bits
-of its own segment; no row per n-gram is shuffled.  Segments hold ``BITS_PER_KEY`` bits for
-each insertion at every size of input, and stay a stored table.  Up to ``MAX_BITS`` (what is
-broadcast at a time) both filters are sent whole; beyond it the segments are sent in groups,
-and each group scores the tokens of its own buckets.  The result is the same.
+of its own segment; no row per n-gram is shuffled.  The merge tasks, and past ``BUCKETS`` the
+buckets, grow with the partitions of the texts, so that what a task or a bucket holds does not
+grow with the corpus.  Segments hold ``BITS_PER_KEY`` bits for each insertion at every size of
+input, and stay a stored table.  Up to ``MAX_BITS`` (what is broadcast at a time) both filters
+are sent whole; beyond it the segments are sent in groups, and each group scores the tokens of
+its own buckets.  The result is the same.
 
 Every word has its own count c(w), also as a history c(h): the ``HEAD`` most frequent words
 are broadcast with exact counts, for all others the word filter has the level, whose middle
@@ -41,7 +43,10 @@ MU = 10.0
 HASHES = 3
 BITS_PER_KEY = 9
 MAX_BITS = 1 << 31    # 256 MB are broadcast at a time
-BUCKETS = 512
+BUCKETS = 512         # at least
+BUCKETS_PER_PARTITION = 4
+MERGES = 16           # merge tasks at least
+MERGES_PER_PARTITION = 2
 HEAD = 1 << 16
 GROUP_CHARS = 2_000_000   # characters of texts that are scored together
 CHUNK = 1_000_000     # tokens a map task holds before it sends counts on
@@ -53,7 +58,7 @@ class _Hashes(dict):
 
     def __missing__(self, word):
         import xxhash
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return value
@@ -198,14 +203,22 @@ class Filter:
         return out
 
 
-def train(texts: DataFrame, buckets: int = BUCKETS, max_bits: int = MAX_BITS,
+def _buckets(partitions: int) -> int:
+    """Buckets (a power of two) for texts in so many partitions."""
+    return max(BUCKETS, 1 << (BUCKETS_PER_PARTITION * partitions - 1).bit_length())
+
+
+def train(texts: DataFrame, buckets: int | None = None, max_bits: int = MAX_BITS,
           head: int = HEAD) -> tuple[dict, DataFrame]:
     """The model (stored segments, head words, N, V) and the exact word counts (key, c) of
     a one-column table of training texts; ``max_bits`` are broadcast at a time."""
+    partitions = texts.rdd.getNumPartitions()
+    buckets = buckets or _buckets(max(1, partitions))
     shift = 64 - int(math.log2(buckets))
     blocks = texts.select(F.col(texts.columns[0]).alias("text")).mapInPandas(
         lambda it: _count(it, shift), "kind string, bucket long, keys binary, counts binary")
-    dealt = blocks.repartition(min(buckets, max(64, texts.rdd.getNumPartitions())), "bucket", "kind") \
+    merges = min(buckets, max(MERGES, MERGES_PER_PARTITION * partitions))
+    dealt = blocks.repartition(merges, "bucket", "kind") \
         .sortWithinPartitions("kind", "bucket")
     merged = keep(dealt.mapInPandas(
         _merge, "kind string, bucket long, keys binary, counts binary, segment binary, bits long"), "lm-counts")

@@ -228,3 +228,20 @@ def test_lm_segments_grow_with_what_is_inserted():
                          columns=["kind", "bucket", "keys", "counts"])
     made = next(bloom_lm._merge(iter([block])))
     assert made["bits"][0] >= bloom_lm.BITS_PER_KEY * len(keys)
+
+
+def test_lm_buckets_and_merge_tasks_grow_with_the_partitions_of_the_texts(spark, tail_texts):
+    docs = spark.createDataFrame(list(enumerate(tail_texts)), "doc_id long, text string")
+    runs = []
+    for partitions in (3, 150):
+        model, words = bloom_lm.train(docs.where("doc_id % 3 > 0").select("text").repartition(partitions))
+        scores = {r["doc_id"]: (r["lm_n_tokens"], r["lm_n_known"], round(r["lm_base"], 9), r["lm_score"])
+                  for r in bloom_lm.score(docs, model, words).collect()}
+        runs.append((model["buckets"], len(model["segments"].inputFiles()), model["N"], model["V"], scores))
+    few, many = runs
+    assert few[0] == 512 and many[0] == 1024
+    assert few[1] <= 16 and many[1] > 200   # merge tasks with rows, a stored file each
+    assert few[2:4] == many[2:4] and len(few[4]) == len(many[4]) == 120
+    for doc_id, (*exact, score) in few[4].items():
+        *same, other = many[4][doc_id]
+        assert exact == same and abs(score - other) < 0.04 * abs(score)   # the filters' false positives differ
